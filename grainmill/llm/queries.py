@@ -12,6 +12,7 @@ from grainmill.llm.bpe import with_bpe
 from grainmill.llm.line_dedup import drop_common_lines
 from grainmill.llm.mixture import mix_amounts
 from grainmill.llm.quality_rules import with_repetition_rules
+from grainmill.llm.repeated_bytes import mark_repeats
 from grainmill.llm.simhash import near_duplicate_groups
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -25,6 +26,10 @@ def sha256(text: str) -> F.Column:
     return F.sha2(F.col(text), 256)
 
 
+def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mark_repeats(documents(spark, sf_dir).select("doc_id", "text"), spans=False)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     amounts, sources = mix_amounts(documents(spark, sf_dir), F.array("source"))
     per_row = amounts.withColumn("source", F.col("sources")[0])
@@ -55,7 +60,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_source_mix, op5_line_dedup, op8_simhash, op9_bpe, op10_quality_rules)
+    f.__name__: f for f in (op3_repeated_bytes, op4_source_mix, op5_line_dedup, op8_simhash, op9_bpe, op10_quality_rules)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
