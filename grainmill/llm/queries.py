@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from grainmill.llm.bpe import with_bpe
 from grainmill.llm.line_dedup import drop_common_lines
+from grainmill.llm.media import with_media_digest
 from grainmill.llm.mixture import mix_amounts
 from grainmill.llm.quality_rules import with_repetition_rules
 from grainmill.llm.repeated_bytes import mark_repeats
+from grainmill.llm.sections import count_section_tokens
 from grainmill.llm.simhash import near_duplicate_groups
 
 BPE_FILE = "byte_bpe_50k.json"
@@ -26,6 +28,12 @@ def sha256(text: str) -> F.Column:
     return F.sha2(F.col(text), 256)
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_media_digest(documents(spark, sf_dir).select("doc_id", "text"))
+    names = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return docs.select("doc_id", *(f"media.{n}" for n in names))
+
+
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_repeats(documents(spark, sf_dir).select("doc_id", "text"), spans=False)
 
@@ -42,6 +50,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "lines.n_lines", "lines.n_dropped", sha256("lines.text").alias("kept_sha256"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each line of each document; a token across lines counts for the line of most of its bytes."""
+    sections = count_section_tokens(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(BPE_FILE))
+    return sections.select("doc_id", "section.section", "section.from", "section.to", F.col("section.n_tokens").cast("long").alias("n_tokens"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -60,7 +74,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_repeated_bytes, op4_source_mix, op5_line_dedup, op8_simhash, op9_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_media, op3_repeated_bytes, op4_source_mix, op5_line_dedup, op6_token_counts, op8_simhash, op9_bpe, op10_quality_rules)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
