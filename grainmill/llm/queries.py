@@ -12,6 +12,7 @@ from grainmill.llm.bpe import with_bpe
 from grainmill.llm.line_dedup import drop_common_lines
 from grainmill.llm.media import with_media_digest
 from grainmill.llm.mixture import mix_amounts
+from grainmill.llm.quality_classifier import score_quality
 from grainmill.llm.quality_rules import with_repetition_rules
 from grainmill.llm.repeated_bytes import mark_repeats
 from grainmill.llm.sections import count_section_tokens
@@ -34,6 +35,11 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *(f"media.{n}" for n in names))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op3_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mark_repeats(documents(spark, sf_dir).select("doc_id", "text"), spans=False)
 
@@ -74,7 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op3_repeated_bytes, op4_source_mix, op5_line_dedup, op6_token_counts, op8_simhash, op9_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_media, op2_quality_classifier, op3_repeated_bytes, op4_source_mix, op5_line_dedup, op6_token_counts, op8_simhash, op9_bpe, op10_quality_rules)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
