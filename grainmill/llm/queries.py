@@ -17,6 +17,7 @@ from grainmill.llm.quality_rules import with_repetition_rules
 from grainmill.llm.repeated_bytes import mark_repeats
 from grainmill.llm.sections import count_section_tokens
 from grainmill.llm.simhash import near_duplicate_groups
+from grainmill.llm.toxicity import score_toxicity
 
 BPE_FILE = "byte_bpe_50k.json"
 
@@ -62,6 +63,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sections.select("doc_id", "section.section", "section.from", "section.to", F.col("section.n_tokens").cast("long").alias("n_tokens"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicate_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -80,7 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media, op2_quality_classifier, op3_repeated_bytes, op4_source_mix, op5_line_dedup, op6_token_counts, op8_simhash, op9_bpe, op10_quality_rules)
+    f.__name__: f for f in (op1_media, op2_quality_classifier, op3_repeated_bytes, op4_source_mix, op5_line_dedup, op6_token_counts, op7_toxicity, op8_simhash, op9_bpe, op10_quality_rules)
 }
 
 _WORD = r"[^\x20\x09-\x0D]+"
