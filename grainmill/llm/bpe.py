@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
 import json
+from array import array
+from collections.abc import Callable
+from heapq import heapify, heappop, heappush
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -14,8 +17,11 @@ from pyspark.sql import functions as F
 
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-#: Distinct pieces whose ids a Python worker remembers before it starts afresh.
-REMEMBERED_PIECES = 250_000
+#: Distinct pieces whose ids a Python worker remembers; as many more, the last before these, are held until this fills again.
+REMEMBERED_PIECES = 300_000
+
+_PLACE_BITS = 32
+_PLACES = (1 << _PLACE_BITS) - 1
 
 #: Stands for a character that counts as neither letter nor number.
 _OTHER = "§"
@@ -39,6 +45,29 @@ def newer_letters() -> dict[int, str]:
     return {c: _OTHER for c in doubtful if len(split("!" + chr(c))) == 1}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return array("i", ids).tobytes()
+
+
+class _Memory(dict):
+    """The ids of recent pieces.  A full memory becomes the older half, which gives way to the next."""
+
+    def __init__(self, merge: Callable[[bytes], list[int]]):
+        self._merge = merge
+        self._older: dict[str, bytes] = {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self._older.get(piece)
+        if found is None:
+            found = _packed(self._merge(piece.encode("utf-8", "surrogatepass")))
+        if len(piece) <= 64:
+            if len(self) >= REMEMBERED_PIECES:
+                self._older = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts, as the vocabulary file's own library gives them."""
 
@@ -53,21 +82,21 @@ class Encoder:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for content, i in self.added.items():
             self.bytes_of[i] = content.encode()
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
         self._added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.byte_id = [0] * 256
         for symbol, b in to_byte.items():
             self.byte_id[b] = model["vocab"][symbol]
-        self.merges: dict[int, tuple[int, int]] = {}
+        self.rank_of: dict[int, int] = {}
+        self.merged_id: list[int] = []
         for rank, merge in enumerate(model["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
-            self.merges.setdefault(model["vocab"][left] << 32 | model["vocab"][right], (rank, model["vocab"][left + right]))
+            self.rank_of.setdefault(model["vocab"][left] << 32 | model["vocab"][right], rank)
+            self.merged_id.append(model["vocab"][left + right])
         self._newer = newer_letters() if newer is None else newer
         self._newer_set = frozenset(map(chr, self._newer))
         self._maybe_newer = regex.compile(f"[{chr(min(self._newer, default=0x10FFFF))}-\U0010ffff]")
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, tuple[int, ...]] = {}
+        self._ids = _Memory(self.merge)
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text that are encoded one by one; joined they give the text."""
@@ -77,57 +106,46 @@ class Encoder:
         return PIECES.findall(text)
 
     def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece: the lowest rank merges first, the leftmost of equals."""
-        ids = [self.byte_id[b] for b in piece]
-        n = len(ids)
-        if n < 2:
+        """Ids of one piece: the lowest rank merges first, the leftmost of equals.
+
+        A queue entry is a rank and a position; it is stale, and skipped, once
+        the pair at the position no longer has that rank.
+        """
+        ids = [*map(self.byte_id.__getitem__, piece)]
+        last = len(ids) - 1
+        rank_of, merged_id = self.rank_of.get, self.merged_id
+        queue = [r << _PLACE_BITS | i for i in range(last) if (r := rank_of(ids[i] << 32 | ids[i + 1])) is not None]
+        if not queue:
             return ids
-        before, after = [*range(-1, n - 1)], [*range(1, n), -1]
-        merges = self.merges.get
-        queue = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := merges(ids[i] << 32 | ids[i + 1]))]
-        heapq.heapify(queue)
+        heapify(queue)
+        before, after = [*range(-1, last)], [*range(1, last + 2)]
+        after[last] = -1
         while queue:
-            _, i, left, right, merged = heapq.heappop(queue)
+            entry = heappop(queue)
+            i, rank = entry & _PLACES, entry >> _PLACE_BITS
             j = after[i]
-            if j < 0 or ids[i] != left or ids[j] != right:
-                continue  # stale: one of the two symbols has merged since
-            ids[i], ids[j] = merged, -1
-            after[i] = k = after[j]
+            if j < 0 or rank_of(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i] = merged = merged_id[rank]
+            ids[j] = -1
+            after[i], after[j] = after[j], -1
+            k = after[i]
             if k >= 0:
                 before[k] = i
-                if found := merges(merged << 32 | ids[k]):
-                    heapq.heappush(queue, (found[0], i, merged, ids[k], found[1]))
+                if (r := rank_of(merged << 32 | ids[k])) is not None:
+                    heappush(queue, r << _PLACE_BITS | i)
             h = before[i]
-            if h >= 0 and (found := merges(ids[h] << 32 | merged)):
-                heapq.heappush(queue, (found[0], h, ids[h], merged, found[1]))
+            if h >= 0 and (r := rank_of(ids[h] << 32 | merged)) is not None:
+                heappush(queue, r << _PLACE_BITS | h)
         return [x for x in ids if x >= 0]
 
-    def _of(self, piece: str) -> tuple[int, ...]:
-        found = self.known.get(piece)
-        if found is None:
-            if len(self.known) >= REMEMBERED_PIECES:
-                self._forget()
-            found = tuple(self.merge(piece.encode("utf-8", "surrogatepass")))
-            if len(piece) <= 64:
-                self.known[piece] = found
-        return found
-
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def encode(self, text: str) -> np.ndarray:
         parts = self._added.split(text) if self._added and any(a in text for a in self.added) else [text]
-        for part in parts:
-            if part in self.added:
-                out.append(self.added[part])
-                continue
-            known = self.known
-            for piece in self.pieces(part):
-                out += known.get(piece) or self._of(piece)
-                known = self.known
-        return out
+        found = [_packed([self.added[p]]) if p in self.added else b"".join(map(self._ids.__getitem__, self.pieces(p))) for p in parts]
+        return np.frombuffer(b"".join(found), np.int32)
 
-    def decode(self, ids) -> str:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+    def decode(self, ids: list[int]) -> str:
+        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
 _loaded: tuple[object, Encoder | None] = (None, None)
@@ -155,7 +173,7 @@ def encoded(text: Column, shared) -> Column:
         flat, ends = [], [0]
         total = 0
         for t in texts:
-            found = np.array(one.encode(t.as_py() or ""), np.int32)
+            found = one.encode(t.as_py() or "")
             flat.append(found)
             total += len(found)
             ends.append(total)
@@ -171,7 +189,7 @@ def decoded(ids: Column, shared) -> Column:
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
         one = encoder(shared)
-        return pa.array([one.decode(x.values.to_numpy() if x.is_valid else ()) for x in lists], pa.string())
+        return pa.array([one.decode(x.values.to_pylist() if x.is_valid else []) for x in lists], pa.string())
 
     return texts(ids)
 
@@ -184,7 +202,7 @@ def with_bpe(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     and strings of added tokens; each piece is merged by a heap of merge ranks
     over a doubly linked symbol list, where entries whose symbols have merged
     since are skipped.  Ids of recent pieces are remembered, up to a fixed
-    number, per Python worker.
+    number, per Python worker, so that memory is bounded.
 
     A null text counts as empty and gives an empty list and an empty text.
     Rows are independent; an empty table stays empty; columns named as the

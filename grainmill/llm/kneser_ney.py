@@ -45,7 +45,7 @@ class KneserNeyRules:
     other class's by ``deviations`` standard deviations and by a factor of ``factor`` in probability."""
 
     discount: float = 0.75
-    deviations: float = 4.0
+    deviations: float = 3.0
     factor: float = 4.0
 
 

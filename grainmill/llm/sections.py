@@ -29,9 +29,9 @@ class SectionRules:
     boundary: str = "majority"
 
 
-def token_spans(one: Encoder, ids: list[int]) -> np.ndarray:
+def token_spans(one: Encoder, ids: np.ndarray) -> np.ndarray:
     """Byte offsets of the tokens' starts, and the end of the last: byte-level tokens tile the text."""
-    return np.concatenate([[0], np.cumsum([len(one.bytes_of[i]) for i in ids])]).astype(np.int64)
+    return np.concatenate([[0], np.cumsum(one.lengths[ids])]).astype(np.int64)
 
 
 def section_spans(data: bytes, separator: bytes) -> np.ndarray:
