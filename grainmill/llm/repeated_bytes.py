@@ -18,6 +18,9 @@ from grainmill.llm.suffix_sort import equal_suffixes
 from grainmill.llm.text import CHUNK_BYTES, SpanHasher, shared_folder, written
 
 _POSITION_BITS = np.uint64(31)
+#: A place packs a run's first byte, the anchor's distance from it and the number of strings, the last two in so many bits.
+_PLACE_BITS = 12
+_PLACE_MASK = (1 << _PLACE_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -35,6 +38,10 @@ class RepeatRules:
     hot_least: int = 20_000
     hot_share: float = 1 / 2000
 
+    def __post_init__(self):
+        if not 0 < self.anchor <= self.width < 1 << _PLACE_BITS:
+            raise ValueError(f"0 < anchor <= width < {1 << _PLACE_BITS} does not hold")
+
 
 def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     """The least value of each window, from running minima within blocks of the width."""
@@ -48,8 +55,8 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def anchored_runs(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive strings of one text with one minimizer: (first start, strings, bucket, content hash).
+def anchored_runs(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) -> tuple[np.ndarray, ...]:
+    """Runs of consecutive strings of one text with one minimizer: (first start, distance to the minimizer, strings, bucket, content hash).
 
     Equal strings have the same minimizer at the same place, so they meet in a
     bucket; ties go to the leftmost.
@@ -58,7 +65,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) ->
     n = len(data) - width + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     hashed = SpanHasher(data)
     at = np.arange(len(data) - k + 1)
     grams = hashed(at, at + k)
@@ -71,7 +78,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) ->
     first = np.flatnonzero(fresh & whole)
     turn = np.append(np.flatnonzero(fresh | ~whole), n)
     count = turn[np.searchsorted(turn, first, side="right")] - first
-    return first, count, grams[anchor[first]], hashed(first, first + count + width - 1)
+    return first, anchor[first] - first, count, grams[anchor[first]], hashed(first, first + count + width - 1)
 
 
 def _anchor_counts(store: DataFrame, rules: RepeatRules) -> tuple[list[int], int]:
@@ -97,7 +104,12 @@ def _anchor_counts(store: DataFrame, rules: RepeatRules) -> tuple[list[int], int
     return [r["bucket"] for r in sums.where(~F.col("total") & (F.col("n") >= most)).select("bucket").collect()], total
 
 
-_RUN = np.dtype([("first", "<u4"), ("count", "<u2"), ("bucket", "<u8"), ("content", "<u8")])
+_RUN = np.dtype([("place", "<i8"), ("bucket", "<u8"), ("content", "<u8")])
+
+
+def _unplaced(place):
+    """(first, anchor distance, count)."""
+    return place >> 2 * _PLACE_BITS, place >> _PLACE_BITS & _PLACE_MASK, place & _PLACE_MASK
 
 
 def _runs(packed: pa.Scalar | None) -> np.ndarray:
@@ -136,10 +148,10 @@ def _distinct_texts(docs: DataFrame, text: Column, rules: RepeatRules) -> DataFr
         def flush() -> pa.RecordBatch:
             texts = [unpack(r[3]) for r in rows]
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            first, count, bucket, content = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), offsets, rules)
+            first, ahead, count, bucket, content = anchored_runs(np.frombuffer(b"".join(texts), np.uint8), offsets, rules)
             owner = np.searchsorted(offsets, first, side="right") - 1
             runs = np.empty(len(first), _RUN)
-            runs["first"], runs["count"], runs["bucket"], runs["content"] = first - offsets[owner], count, bucket, content
+            runs["place"], runs["bucket"], runs["content"] = (first - offsets[owner]) << 2 * _PLACE_BITS | ahead << _PLACE_BITS | count, bucket, content
             ends = np.searchsorted(owner, np.arange(len(rows) + 1))
             return _batch([(*r, runs[i:j].tobytes()) for r, i, j in zip(rows, ends, ends[1:])], _STORED)
 
@@ -191,7 +203,7 @@ def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _columns(names: str, *values: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v.view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in values], names.split())
+    return pa.RecordBatch.from_arrays([pa.array(v.astype(v.dtype, copy=not v.flags.c_contiguous).view(np.int64) if v.dtype == np.uint64 else v.astype(np.int64)) for v in values], names.split())
 
 
 def _flat_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,35 +214,35 @@ def _flat_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(each or [_runs(None)]), a, b, n
 
 
-def _contents(store: DataFrame, hot: list[int]) -> DataFrame:
-    """(bucket, content, n, contents, a, b, place) of the runs outside hot buckets whose bucket holds two runs at least.
+def _contents(store: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(bucket, content, n, contents, a, b, place) of different runs: outside hot buckets and in them.
 
-    ``n`` is 2 for a run that occurs again as a whole; (a, b, place) is one of
-    its occurrences; ``contents`` counts the different runs of its bucket.
-    Batches count their own equal runs before the one shuffle.
+    ``n`` over 1 means that a run occurs again as a whole; (a, b, place) is one
+    of its occurrences; ``contents`` counts the different runs of its bucket.
+    Only buckets with two runs at least are returned.  Batches count their own
+    equal runs before the shuffle, and a hot bucket is dealt by content.
     """
-    skipped = np.array(sorted(hot), np.int64)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             runs, a, b, n = _flat_runs(batch)
-            cold = ~np.isin(runs["bucket"].astype(np.uint64).view(np.int64), skipped)
-            runs, a, b, n = runs[cold], a[cold], b[cold], n[cold]
             order = np.lexsort((runs["content"], runs["bucket"]))
             runs, a, b, n = runs[order], a[order], b[order], n[order]
             heads = np.flatnonzero(np.concatenate([[True], (runs["bucket"][1:] != runs["bucket"][:-1]) | (runs["content"][1:] != runs["content"][:-1])])) if len(runs) else np.empty(0, np.int64)
             total = np.minimum(np.add.reduceat(n, heads), 2) if len(heads) else n
-            place = runs["first"].astype(np.int64) << 16 | runs["count"]
-            yield _columns("bucket content n a b place", runs["bucket"][heads].astype(np.uint64), runs["content"][heads].astype(np.uint64), total, a[heads], b[heads], place[heads])
+            yield _columns("bucket content n a b place", *(runs[c][heads] for c in ("bucket", "content")), total, a[heads], b[heads], runs["place"][heads])
 
     rows = store.select("a", "b", "n", "runs").mapInArrow(counted, "bucket bigint, content bigint, n bigint, a bigint, b bigint, place bigint")
-    each = rows.repartition("bucket").groupBy("bucket", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("at"))
-    each = each.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    return each.where("n > 1 OR contents > 1").select("bucket", "content", "n", "contents", "at.*")
+    is_hot = F.col("bucket").isin(hot)
+    by_content = lambda df: df.groupBy("bucket", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("at"))
+    cold = by_content((rows.where(~is_hot) if hot else rows).repartition("bucket"))
+    cold = cold.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1 OR contents > 1")
+    names = ("bucket", "content", "n", "contents", "at.*")
+    return cold.select(*names), by_content(rows.where(is_hot)).withColumn("contents", F.lit(2).cast("long")).select(*names)
 
 
 def _slices(contents: DataFrame, store: DataFrame, width: int) -> DataFrame:
-    """(bucket, content, n, bytes) of runs, cut out of the stored texts that hold them."""
+    """(bucket, content, n, ahead, bytes) of runs, cut out of the stored texts that hold them."""
     wanted = contents.groupBy("a", "b").agg(F.collect_list(F.struct("bucket", "content", "n", "place")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,14 +252,14 @@ def _slices(contents: DataFrame, store: DataFrame, width: int) -> DataFrame:
             for packed, list_ in zip(batch.column("packed"), batch.column("wanted")):
                 data = unpack(packed.as_py())
                 for w in list_.as_py():
-                    first, count = w["place"] >> 16, w["place"] & 0xFFFF
-                    rows.append((w["bucket"], w["content"], w["n"], data[first : first + count + width - 1]))
+                    first, ahead, count = _unplaced(w["place"])
+                    rows.append((w["bucket"], w["content"], w["n"], ahead, data[first : first + count + width - 1]))
             yield _batch(rows, _SLICE)
 
     return store.select("a", "b", "packed").join(wanted, ["a", "b"]).select("packed", "wanted").mapInArrow(cut, _ddl(_SLICE))
 
 
-_SLICE = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("bytes", pa.binary())])
+_SLICE = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("ahead", pa.int64()), ("bytes", pa.binary())])
 _FOUND = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("spans", pa.binary())])
 
 
@@ -257,6 +269,19 @@ def _flag_spans(flags: np.ndarray, width: int) -> bytes:
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + width - 1], axis=1).astype("<i4").tobytes()
 
 
+#: Spreads buckets so that distances can be added; a clash of two groups only sorts them together.
+_GROUP_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _strings(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Strings a row, and the row and the start of each string in the joined bytes of the rows."""
+    sizes = np.array([len(r[4]) for r in rows])
+    counts = sizes - width + 1
+    owner = np.repeat(np.arange(len(rows)), counts)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return counts, owner, np.repeat(np.cumsum(sizes) - sizes, counts) + within
+
+
 def _sorted_buckets(slices: DataFrame, width: int) -> DataFrame:
     """The repeated spans of each run, from sorting all strings of its bucket together."""
 
@@ -269,17 +294,17 @@ def _sorted_buckets(slices: DataFrame, width: int) -> DataFrame:
                     yield settle(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if held:
             yield settle(held)
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array([len(r[3]) for r in rows])
-        counts = sizes - width + 1
-        owner = np.repeat(np.arange(len(rows)), counts)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        starts = np.repeat(np.cumsum(sizes) - sizes, counts) + within
-        flags = equal_suffixes(np.frombuffer(b"".join(r[3] for r in rows), np.uint8), starts, np.array([r[0] for r in rows])[owner], width)
+        counts, owner, starts = _strings(rows, width)
+        within = starts - starts[np.cumsum(counts) - counts][owner]
+        # Equal strings hold their minimizer at the same distance, so only such strings are sorted together.
+        bucket, ahead = (np.array([r[i] for r in rows], np.int64)[owner] for i in (0, 3))
+        groups = (bucket.view(np.uint64) * _GROUP_MULTIPLIER) + (ahead - within).astype(np.uint64)
+        flags = equal_suffixes(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), starts, groups, width)
         ends = np.cumsum(counts)
         out = [(r[0], r[1], _flag_spans(flags[e - c : e], width)) for r, c, e in zip(rows, counts, ends) if r[2] < 2 and flags[e - c : e].any()]
         return _batch(out, _FOUND)
@@ -287,28 +312,33 @@ def _sorted_buckets(slices: DataFrame, width: int) -> DataFrame:
     return slices.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, _ddl(_FOUND))
 
 
-def _hot_marks(store: DataFrame, hot: list[int], width: int) -> DataFrame:
-    """(a, b, marks) in hot buckets, where each string is counted by its own hash: no task gathers a bucket."""
-    wanted = np.array(sorted(hot), np.int64)
+def _counted_strings(slices: DataFrame, width: int) -> DataFrame:
+    """The repeated spans of each run of hot buckets, from counting each string by its hash: no task gathers a bucket."""
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                runs = _runs(batch.column("runs")[i])
-                runs = runs[np.isin(runs["bucket"].astype(np.uint64).view(np.int64), wanted)]
-                if not len(runs):
-                    continue
-                counts = runs["count"].astype(np.int64)
-                owner = np.repeat(np.arange(len(runs)), counts)
-                starts = runs["first"].astype(np.int64)[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-                hashed = SpanHasher(np.frombuffer(unpack(batch.column("packed")[i].as_py()), np.uint8))(starts, starts + width)
-                whose = [np.full(len(starts), batch.column(c)[i].as_py(), np.int64) for c in ("a", "b", "n")]
-                yield _columns("bucket string start a b n", runs["bucket"].astype(np.uint64)[owner], hashed, starts, *whose)
+            columns = [c.to_pylist() for c in batch.columns]
+            for i in range(0, batch.num_rows, 2000):
+                rows = list(zip(*(c[i : i + 2000] for c in columns)))
+                counts, owner, starts = _strings(rows, width)
+                within = starts - starts[np.cumsum(counts) - counts][owner]
+                strings = SpanHasher(np.frombuffer(b"".join(r[4] for r in rows), np.uint8))(starts, starts + width)
+                yield _columns("bucket content n string place", *(np.array([r[k] for r in rows], np.int64)[owner] for k in (0, 1, 2)), strings, within)
+
+    strings = written(slices.mapInArrow(hashed, "bucket bigint, content bigint, n bigint, string bigint, place bigint"), "strings")
+    again = strings.groupBy("bucket", "string").agg(F.sum(F.least("n", F.lit(2))).alias("times")).where("times > 1").select("bucket", "string")
+    places = strings.where("n = 1").join(again, ["bucket", "string"]).groupBy("bucket", "content").agg(F.collect_list("place").alias("places"))
+
+    def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for bucket, content, places in zip(*(c.to_pylist() for c in batch.columns)):
+                flags = np.zeros(max(places) + 1, bool)
+                flags[places] = True
+                rows.append((bucket, content, _flag_spans(flags, width)))
+            yield _batch(rows, _FOUND)
 
-    each = written(store.select("a", "b", "n", "packed", "runs").mapInArrow(strings, "bucket bigint, string bigint, start bigint, a bigint, b bigint, n bigint"), "strings")
-    again = each.groupBy("bucket", "string").agg(F.sum("n").alias("times")).where("times > 1").select("bucket", "string")
-    return each.where("n = 1").join(again, ["bucket", "string"]).select("a", "b", F.col("start").cast("int").alias("from"), (F.col("start") + width).cast("int").alias("to"))
+    return places.mapInArrow(spans, _ddl(_FOUND))
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = RepeatRules()) -> DataFrame:
@@ -321,29 +351,31 @@ def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = Rep
     Whole copies are found first and kept once.  The strings of the remaining
     texts are cut into runs with one minimizer; runs that recur as a whole are
     settled by counting hashes; runs that share a minimizer but differ are
-    fetched and all their strings sorted, bucket by bucket.
+    fetched and all their strings sorted, bucket by bucket, except in hot
+    buckets, where the strings are counted by hash.
     """
     width = rules.width
     store = _distinct_texts(docs, F.col(f"`{text}`"), rules)
     hot, _ = _anchor_counts(store, rules)
-    contents = written(_contents(store, hot), "contents")
+    cold_runs, hot_runs = _contents(store, hot)
+    contents = written(cold_runs, "contents")
+    wholly = contents.where("n > 1")
     partly = _sorted_buckets(_slices(contents.where("contents > 1"), store, width), width)
-    wholly = contents.where("n > 1").select("bucket", "content", F.lit(None).cast("binary").alias("spans"))
-    skipped = np.array(sorted(hot), np.int64)
+    if hot:
+        hot_runs = written(hot_runs, "contents")
+        wholly = wholly.union(hot_runs.where("n > 1"))
+        partly = partly.union(_counted_strings(_slices(hot_runs, store, width), width))
+    wholly = wholly.select("bucket", "content", F.lit(None).cast("binary").alias("spans"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, a, b, n = _flat_runs(batch)
-            use = (n == 1) & ~np.isin(runs["bucket"].astype(np.uint64).view(np.int64), skipped)
-            runs = runs[use]
-            yield _columns("bucket content a b place", runs["bucket"].astype(np.uint64), runs["content"].astype(np.uint64), a[use], b[use], runs["first"].astype(np.int64) << 16 | runs["count"])
+            runs, a, b, _ = _flat_runs(batch)
+            yield _columns("bucket content a b place", runs["bucket"], runs["content"], a, b, runs["place"])
 
     placed = store.where("n = 1").select("a", "b", "n", "runs").mapInArrow(places, "bucket bigint, content bigint, a bigint, b bigint, place bigint")
-    first, count = F.expr("cast(shiftright(place, 16) as int)"), F.expr("cast(place & 65535 as int)")
+    first, _, count = (F.expr(f"cast({x} as int)") for x in (f"shiftright(place, {2 * _PLACE_BITS})", "0", f"place & {_PLACE_MASK}"))
     marks = placed.join(wholly.union(partly), ["bucket", "content"])
     marks = marks.select("a", "b", first.alias("from"), (first + count + width - 1).alias("to"), "spans")
-    if hot:
-        marks = marks.union(_hot_marks(store, hot, width).withColumn("spans", F.lit(None).cast("binary")))
     gathered = marks.groupBy("a", "b").agg(F.collect_list(F.struct("from", "to", "spans")).alias("marks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

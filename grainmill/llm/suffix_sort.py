@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes that multikey partitioning looks at, eight at a time.
-SHALLOW = 24
-#: Bytes that one step of the blind tries lays out.
-STEP_BYTES = 16 << 20
+SHALLOW = 8
+#: Suffixes whose bytes one step of the blind tries compares.
+STEP = 1 << 16
 
 
 def _split(order: np.ndarray, classes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,6 +27,23 @@ def _shared(classes: np.ndarray) -> np.ndarray:
     return flags
 
 
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, the first byte most significant."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        out = out << np.uint64(8) | padded[i : i + len(data)]
+    return out
+
+
+def _first_difference(xor: np.ndarray) -> np.ndarray:
+    """The first differing byte of eight; 8 for none."""
+    at = np.full(xor.shape, 8)
+    for i in reversed(range(8)):
+        at[(xor >> np.uint64(56 - 8 * i)) != 0] = i
+    return at
+
+
 def equal_suffixes(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, width: int) -> np.ndarray:
     """Flags of the suffixes whose first ``width`` bytes begin another suffix of their group too.
 
@@ -41,19 +58,19 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, wid
     found = np.zeros(len(starts), bool)
     if len(starts) < 2:
         return found
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    order, classes = _split(np.arange(len(starts)), np.zeros(len(starts), np.int64), groups)
+    eights = _eights(data)
+    order = np.argsort(groups, kind="stable")
+    ranked = groups[order]
+    classes = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+    keep = _shared(classes)
+    order, classes = order[keep], classes[keep]
     depth = 0
     while depth < min(SHALLOW, width) and len(order):
+        size = min(8, width - depth)
+        order, classes = _split(order, classes, eights[starts[order] + depth] >> np.uint64(64 - 8 * size))
         keep = _shared(classes)
         order, classes = order[keep], classes[keep]
-        size = min(8, width - depth)
-        keys = np.ascontiguousarray(words[starts[order] + depth]).view(">u8").ravel().astype(np.uint64)
-        order, classes = _split(order, classes, keys >> np.uint64(64 - 8 * size) if size < 8 else keys)
         depth += size
-    keep = _shared(classes) if len(order) else np.empty(0, bool)
-    order, classes = order[keep], classes[keep]
     if depth >= width:
         found[order] = True
         return found
@@ -61,26 +78,29 @@ def equal_suffixes(data: np.ndarray, starts: np.ndarray, groups: np.ndarray, wid
     while len(order):
         heads = np.flatnonzero(np.concatenate([[True], classes[1:] != classes[:-1]]))
         sizes = np.diff(np.append(heads, len(order)))
-        first = np.repeat(heads, sizes)
-        branch = np.empty(len(order), np.int64)
-        rest = width - int(depths.min())
-        step = max(1, STEP_BYTES // max(1, rest))
-        for i in range(0, len(order), step):
-            s = slice(i, i + step)
-            offsets = np.minimum(depths[s][:, None] + np.arange(rest), width - 1)
-            other = padded[starts[order[s]][:, None] + offsets] != padded[starts[order[first[s]]][:, None] + offsets]
-            other &= depths[s][:, None] + np.arange(rest) < width
-            branch[s] = np.where(other.any(axis=1), depths[s] + other.argmax(axis=1), width)
+        first = starts[order[np.repeat(heads, sizes)]]
+        own = starts[order]
+        branch = np.full(len(order), width)
+        for i in range(0, len(order), STEP):
+            s = slice(i, i + STEP)
+            open_, at = np.arange(i, min(i + STEP, len(order))), depths[s].copy()
+            while len(open_):
+                xor = eights[own[open_] + at] ^ eights[first[open_] + at]
+                step = _first_difference(xor)
+                ends = np.minimum(at + step, width)
+                done = (step < 8) | (ends >= width)
+                branch[open_[done]] = ends[done]
+                open_, at = open_[~done], ends[~done]
         branch = np.repeat(np.minimum.reduceat(branch, heads), sizes)
         equal = branch >= width
         found[order[equal]] = True
         order, classes, branch = order[~equal], classes[~equal], branch[~equal]
         if not len(order):
             break
-        # Members of a class share their branching depth, which travels with them in class order.
-        order, fresh = _split(order, classes, padded[starts[order] + branch])
-        keep = _shared(fresh)
-        order, classes, depths = order[keep], fresh[keep], branch[keep] + 1
+        # Members of a class share their branching depth, so it stays in place as they are reordered.
+        order, classes = _split(order, classes, data[starts[order] + branch])
+        keep = _shared(classes)
+        order, classes, depths = order[keep], classes[keep], branch[keep] + 1
         done = depths >= width
         if done.any():
             found[order[done]] = True
