@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 #: Distinct pieces whose ids a Python worker remembers; as many more, the last before these, are held until this fills again.
-REMEMBERED_PIECES = 300_000
+REMEMBERED_PIECES = 150_000
 
 _PLACE_BITS = 32
 _PLACES = (1 << _PLACE_BITS) - 1

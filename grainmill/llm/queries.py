@@ -17,12 +17,14 @@ from grainmill.llm.quality_rules import with_repetition_rules
 from grainmill.llm.repeated_bytes import mark_repeats
 from grainmill.llm.sections import count_section_tokens
 from grainmill.llm.simhash import near_duplicate_groups
+from grainmill.llm.text import modest_batches
 from grainmill.llm.toxicity import score_toxicity
 
 BPE_FILE = "byte_bpe_50k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

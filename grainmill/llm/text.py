@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from pyspark.sql import SparkSession
+
 from grainmill.plans.lineage import shared_folder, written  # noqa: F401  for the operators
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -23,7 +25,7 @@ IS_CONTINUATION[0x80:0xC0] = True
 NEWLINE = 10
 
 #: Bytes of text that are laid out as numpy arrays at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
@@ -136,3 +138,13 @@ def sums_by_document(values: np.ndarray, starts: np.ndarray, chunk: Chunk) -> np
     total = np.concatenate([[0], np.cumsum(values)])
     cuts = np.searchsorted(starts, chunk.offsets)
     return total[cuts[1:]] - total[cuts[:-1]]
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Lets Spark hand Python at most 1000 rows or about 4 MB at a time, so that long texts need little memory.
+
+    The queries and the pipeline call this; other users of the operators may
+    set the same two settings as they like.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
