@@ -11,32 +11,37 @@ from grainmill.llm.line_dedup import drop_common_lines
 from grainmill.llm.mixture import mix_documents
 from grainmill.llm.quality_rules import with_repetition_rules
 from grainmill.llm.simhash import keep_one_per_group
-from grainmill.llm.text import written
+from grainmill.llm.text import modest_batches, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep."""
+    modest_batches(spark)
     return with_repetition_rules(docs, out="__rules").where("__rules.kept").drop("__rules")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents share; n_chars follows the text."""
+    modest_batches(spark)
     cleaned = drop_common_lines(docs, out="__lines").withColumn("text", F.col("__lines.text"))
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group."""
+    modest_batches(spark)
     return keep_one_per_group(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of each source as often as its target weight asks for."""
+    modest_batches(spark)
     return mix_documents(docs, F.array("source"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and a digest of the text that they decode to."""
+    modest_batches(spark)
     encoded = with_bpe(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return encoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
