@@ -108,4 +108,5 @@ def count_section_tokens(docs: DataFrame, path: str, text: str = "text", out: st
     """
     shared = share_vocabulary(docs.sparkSession, path)
     marked = docs.drop(out).withColumn("__sections", section_tokens(F.col(f"`{text}`"), shared, rules))
-    return marked.withColumn(out, F.explode("__sections")).drop("__sections")
+    # No list is empty; explode() would add a filter that counts all sections a second time.
+    return marked.withColumn(out, F.explode_outer("__sections")).drop("__sections")
