@@ -164,25 +164,35 @@ def share_vocabulary(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast((Path(path).read_text(encoding="utf-8"), newer_letters()))
 
 
+def _id_lists(found: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))
+
+
 def encoded(text: Column, shared) -> Column:
     """The ids of a text column (null: no ids)."""
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
         one = encoder(shared)
-        flat, ends = [], [0]
-        total = 0
-        for t in texts:
-            found = one.encode(t.as_py() or "")
-            flat.append(found)
-            total += len(found)
-            ends.append(total)
-        values = np.concatenate(flat) if flat else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+        return _id_lists([one.encode(t.as_py() or "") for t in texts])
 
     return ids(text)
 
 
+def round_trip(text: Column, shared) -> Column:
+    """A struct of the ids of a text column and the text that they decode to; chained functions would encode twice."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:string>")
+    def both(texts: pa.Array) -> pa.Array:
+        one = encoder(shared)
+        found = [one.encode(t.as_py() or "") for t in texts]
+        back = pa.array([one.decode(ids.tolist()) for ids in found], pa.string())
+        return pa.StructArray.from_arrays([_id_lists(found), back], ["ids", "decoded"])
+
+    return both(text)
+
+
 def decoded(ids: Column, shared) -> Column:
     """The text of an id column (null: empty); bytes that are no UTF-8 become U+FFFD."""
 
@@ -209,5 +219,7 @@ def with_bpe(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", d
     results are replaced.
     """
     shared = share_vocabulary(docs.sparkSession, path)
-    out = docs.withColumn(ids, encoded(F.col(f"`{text}`"), shared))
-    return out if decoded_text is None else out.withColumn(decoded_text, decoded(F.col(f"`{ids}`"), shared))
+    if decoded_text is None:
+        return docs.withColumn(ids, encoded(F.col(f"`{text}`"), shared))
+    both = docs.withColumn("__bpe", round_trip(F.col(f"`{text}`"), shared))
+    return both.withColumns({ids: F.col("__bpe.ids"), decoded_text: F.col("__bpe.decoded")}).drop("__bpe")
