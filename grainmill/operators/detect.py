@@ -27,7 +27,7 @@ def scan_order(nodes: DataFrame, first: str = ENTRY) -> DataFrame:
     front = Window.partitionBy("program_id").orderBy(F.col("node_id") != first, "seq")
     each = Window.partitionBy("program_id", "node_id").orderBy("seq")
     kept = nodes.withColumn("__rank", F.row_number().over(each)).where("__rank = 1").drop("__rank")
-    return kept.withColumn("scan", F.row_number().over(front))
+    return kept.withColumn("scan", F.row_number().over(front).cast("long"))
 
 
 def events(nodes: DataFrame, edges: DataFrame) -> DataFrame:

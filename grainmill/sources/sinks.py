@@ -112,17 +112,22 @@ def legend_lines() -> list[str]:
     return ["    legend [shape=box, margin=0, label=<", table, '        <TR><TD COLSPAN="2"><B>Info:</B></TD></TR>', *rows, "      </TABLE>", "    >];"]
 
 
+def dot_edges(edges: DataFrame) -> DataFrame:
+    """(program_id, pos, line) of the edges in a drawing."""
+    text = F.replace(F.replace(F.coalesce("label", F.lit("")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    edge = F.concat(F.lit('    "'), quoted_id(F.col("source")), F.lit('" -> "'), quoted_id(F.col("destination")), F.lit('" [label="'), text, F.lit('"];'))
+    return edges.select("program_id", "pos", edge.alias("line"))
+
+
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(program_id, line_no, line): the drawing of each program's graph in the DOT language."""
     label = node_texts(nodes)
     colour = classify.node_colour(label, F.col("node_type"), F.coalesce("llvm.node_source_loc", F.lit("")))
     node = F.concat(F.lit('    "'), quoted_id(F.col("node_id")), F.lit('" [label=<'), html_label(label), F.lit('>, style="filled", fillcolor="'), colour, F.lit('"];'))
-    text = F.replace(F.replace(F.coalesce("label", F.lit("")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
-    edge = F.concat(F.lit('    "'), quoted_id(F.col("source")), F.lit('" -> "'), quoted_id(F.col("destination")), F.lit('" [label="'), text, F.lit('"];'))
     programs = nodes.select("program_id").distinct()
     fixed = lambda part, lines: programs.select("program_id", F.lit(part).alias("part"), F.posexplode(F.array(*map(F.lit, lines))).alias("at", "line"))
     united = fixed(0, ["digraph GlobalICFGNodesEdges {", "    node [shape=box];"])
-    united = united.union(nodes.select("program_id", F.lit(1), F.col("seq"), node)).union(fixed(2, legend_lines())).union(edges.select("program_id", F.lit(3), F.col("pos"), edge)).union(fixed(4, ["}"]))
+    united = united.union(nodes.select("program_id", F.lit(1), F.col("seq"), node)).union(fixed(2, legend_lines())).union(dot_edges(edges).select("program_id", F.lit(3), "pos", "line")).union(fixed(4, ["}"]))
     return united.select("program_id", F.row_number().over(Window.partitionBy("program_id").orderBy("part", "at")).alias("line_no"), "line")
 
 
