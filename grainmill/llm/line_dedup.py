@@ -95,32 +95,49 @@ def _rounds(shards: DataFrame, most: int) -> list[list[int]]:
     return rounds
 
 
+def _common(texts: pa.Array, marks: pa.Array, tables: dict[int, CountTable], n_shards: int, rules: LineRules) -> Iterator[np.ndarray]:
+    """For each text, flags of the lines that are common by these tables or marked already."""
+    keys = [line_keys(t.as_py(), rules.least_chars) for t in texts]
+    high, low = _hashes([k for doc in keys for k in doc])
+    counts, shard = np.zeros(len(high), np.uint32), low.view(np.int64) % n_shards
+    for k, table in tables.items():
+        here = shard == k
+        counts[here] = table.get(high[here], low[here])
+    common = (counts >= rules.least_docs) & np.fromiter((bool(k) for doc in keys for k in doc), bool, len(high))
+    at = 0
+    for doc, old in zip(keys, marks):
+        flags = common[at : at + len(doc)]
+        at += len(doc)
+        yield flags | np.unpackbits(np.frombuffer(old.as_py(), np.uint8), count=len(doc)).astype(bool) if old.is_valid else flags
+
+
 def _probe(shared, n_shards: int, rules: LineRules):
-    """A function of (text, marks) that adds a mark to each common line of the broadcast shards."""
-    least, chars = rules.least_docs, rules.least_chars
+    """A function of (text, marks) that adds the common lines of the broadcast shards to the marks."""
 
     @F.arrow_udf("binary")
     def probe(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        tables = _unpacked(shared)
-        keys = [line_keys(t.as_py(), chars) for t in texts]
-        high, low = _hashes([k for doc in keys for k in doc])
-        counts, shard = np.zeros(len(high), np.uint32), low.view(np.int64) % n_shards
-        for k, table in tables.items():
-            here = shard == k
-            counts[here] = table.get(high[here], low[here])
-        common = (counts >= least) & np.fromiter((bool(k) for doc in keys for k in doc), bool, len(high))
-        found, at = [], 0
-        for doc, old in zip(keys, marks):
-            bits = common[at : at + len(doc)]
-            at += len(doc)
-            if old.is_valid:
-                bits = bits | np.unpackbits(np.frombuffer(old.as_py(), np.uint8), count=len(doc)).astype(bool)
-            found.append(np.packbits(bits).tobytes() if bits.any() else None)
-        return pa.array(found, pa.binary())
+        found = _common(texts, marks, _unpacked(shared), n_shards, rules)
+        return pa.array([np.packbits(flags).tobytes() if flags.any() else None for flags in found], pa.binary())
 
     return probe
 
 
+def _keep(shared, n_shards: int, rules: LineRules):
+    """A function of (text, marks) that probes the last shards and drops all common lines."""
+
+    @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,text:string>")
+    def kept(texts: pa.Array, marks: pa.Array) -> pa.Array:
+        n_lines, n_dropped, left = [], [], []
+        for t, drop in zip(texts, _common(texts, marks, _unpacked(shared), n_shards, rules)):
+            whole = t.as_py() or ""
+            n_lines.append(len(drop))
+            n_dropped.append(int(drop.sum()))
+            left.append("\n".join([line for line, d in zip(whole.split("\n"), drop.tolist()) if not d]) if drop.any() else whole)
+        return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_dropped", "text"])
+
+    return kept
+
+
 def drop_common_lines(docs: DataFrame, text: str = "text", out: str = "lines", rules: LineRules = LineRules()) -> DataFrame:
     """Every row with a struct column ``out``: n_lines, n_dropped and the text without common lines.
 
@@ -136,35 +153,18 @@ def drop_common_lines(docs: DataFrame, text: str = "text", out: str = "lines", r
     table stays empty.  A column named as ``out`` is replaced, others pass.
     """
     shards, n_shards = _shards(line_counts(docs, text, rules), rules)
-    context, column, mark = docs.sparkSession.sparkContext, F.col(f"`{text}`"), "__common_lines"
+    column, mark = F.col(f"`{text}`"), "__common_lines"
     marked = docs.withColumn(mark, F.lit(None).cast("binary"))
-    rounds = _rounds(shards, rules.round_bytes)
-    for turn, ids in enumerate(rounds):
-        if turn:
-            marked = written(marked, "marked")
-        rows = shards.where(F.col("shard").isin(ids)).collect()
-        shared = context.broadcast({r["shard"]: bytes(r["packed"]) for r in rows})
+    *earlier, last = _rounds(shards, rules.round_bytes)
+    for ids in earlier:
+        marked = written(marked.withColumn(mark, _probe(_shared(shards, ids), n_shards, rules)(column, F.col(mark))), "marked")
+    return marked.withColumn(out, _keep(_shared(shards, last), n_shards, rules)(column, F.col(mark))).drop(mark)
 
-        marked = marked.withColumn(mark, _probe(shared, n_shards, rules)(column, F.col(mark)))
-
-    @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,text:string>")
-    def kept(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        n_lines, n_dropped, left = [], [], []
-        for t, m in zip(texts, marks):
-            whole = t.as_py() or ""
-            lines = whole.split("\n")
-            n_lines.append(len(lines))
-            if not m.is_valid:
-                n_dropped.append(0)
-                left.append(whole)
-                continue
-            drop = np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(lines))
-            stay = [line for line, d in zip(lines, drop) if not d]
-            n_dropped.append(len(lines) - len(stay))
-            left.append("\n".join(stay))
-        return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_dropped", "text"])
 
-    return marked.withColumn(out, kept(column, F.col(mark))).drop(mark)
+def _shared(shards: DataFrame, ids: list[int]):
+    """A broadcast of some shards, ``round_bytes`` at most unless one alone is larger."""
+    rows = shards.where(F.col("shard").isin(ids)).collect()
+    return shards.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["packed"]) for r in rows})
 
 
 _unpacked_last: tuple[object, dict[int, CountTable]] = (None, {})
