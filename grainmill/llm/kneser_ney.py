@@ -55,8 +55,9 @@ class Counts:
 
     ``words``: how many different words come before each word; ``pairs``: before
     each pair (first, second); ``contexts``: the sum of the latter over all pairs
-    with a first word and the number of such pairs; ``word_types`` and
-    ``pair_types``: sums over all words and pairs.
+    with a first word and the number of such pairs; ``word_types``: the sum of
+    the counts of all words, also of those not given here, and ``vocabulary``:
+    how many words have a count.
     """
 
     words: np.ndarray
@@ -68,6 +69,7 @@ class Counts:
     context_totals: np.ndarray
     context_types: np.ndarray
     word_types: np.ndarray
+    vocabulary: np.ndarray
 
 
 class LogRatio:
@@ -86,19 +88,20 @@ class LogRatio:
         n, total = counts.word_counts.astype(float), np.maximum(counts.word_types.astype(float), 1)
         both = n.sum(axis=1)
         shared = (both + 1) / (total.sum() + len(n) + 1)
-        rest = 1 - np.maximum(n - discount, 0).sum(axis=0) / total
-        p = np.maximum(n - discount, 0) / total + np.maximum(rest, 1e-9) * shared[:, None]
+        rest = np.clip(discount * counts.vocabulary / total, 1e-6, 1)
+        p = np.maximum(n - discount, 0) / total + rest * shared[:, None]
         ratio = np.log(p[:, 1]) - np.log(p[:, 0])
         telling = self._telling(n, total[None, :], ratio, rules)
         order = np.argsort(counts.words)
         self.words, self.word_ratio = counts.words[order], np.where(telling, ratio, 0.0)[order]
 
         at, known = _find(counts.words[order], counts.seconds)
-        word_p = np.where(known[:, None], p[order][at] if len(p) else 1.0, 1e-9)
-        by_word = np.where(known, self.word_ratio[at] if len(p) else 0.0, 0.0)
+        word_p, by_word = np.full((len(at), 2), 1e-9), np.zeros(len(at))
+        word_p[known], by_word[known] = p[order][at[known]], self.word_ratio[at[known]]
         order = np.argsort(counts.contexts)
         at, known = _find(counts.contexts[order], counts.firsts)
-        totals, types = (np.where(known[:, None], x[order][at] if len(order) else 0, 0).astype(float) for x in (counts.context_totals, counts.context_types))
+        totals, types = np.zeros((2, len(at), 2))
+        totals[known], types[known] = counts.context_totals[order][at[known]], counts.context_types[order][at[known]]
         n = counts.pair_counts.astype(float)
         seen = totals > 0
         held_back = np.where(seen, discount * types / np.maximum(totals, 1), 1.0)

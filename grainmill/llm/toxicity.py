@@ -80,13 +80,15 @@ def _counts(pairs: DataFrame, rules: ToxicityRules, early: bool) -> Counts:
     use = pairs.where(n > 0)
     by_class = lambda value, name: [F.sum(F.when(F.col("y") == k, value).otherwise(0)).alias(f"{name}{k}") for k in (0, 1)]
     least = rules.least_count
-    words = _gathered(use.groupBy("w").agg(*by_class(F.lit(1), "n")), least, "n0", "n1")
+    each_word = use.groupBy("w").agg(*by_class(F.lit(1), "n"))
+    words = _gathered(each_word, least, "n0", "n1")
+    vocabulary = each_word.agg(F.count_if(F.col("n0") > 0), F.count_if(F.col("n1") > 0)).first()
     both = _gathered(use.groupBy("u", "w").agg(*by_class(n, "n")), least, "n0", "n1")
     contexts = _gathered(use.groupBy("u").agg(*by_class(n, "n"), *by_class(F.lit(1), "k")), least, "n0", "n1")
     types = {r["y"]: r["count"] for r in use.groupBy("y").count().collect()}
     hashes = lambda frame, c: frame[c].to_numpy(np.int64).view(np.uint64)
     two = lambda frame, name: frame[[f"{name}0", f"{name}1"]].to_numpy(np.int64)
-    return Counts(hashes(words, "w"), two(words, "n"), hashes(both, "u"), hashes(both, "w"), two(both, "n"), hashes(contexts, "u"), two(contexts, "n"), two(contexts, "k"), np.array([types.get(0, 0), types.get(1, 0)]))
+    return Counts(hashes(words, "w"), two(words, "n"), hashes(both, "u"), hashes(both, "w"), two(both, "n"), hashes(contexts, "u"), two(contexts, "n"), two(contexts, "k"), np.array([types.get(0, 0), types.get(1, 0)]), np.array(vocabulary, float))
 
 
 def calibrate(scores: np.ndarray, y: np.ndarray, ridge: float) -> tuple[float, float]:
