@@ -70,6 +70,12 @@ def unwinds(target: Column) -> Column:
     return ~clean_target(target).isin("unreachable", "continue")
 
 
+def place_parts(place: Column) -> Column:
+    """(local, is_mutable, projection) of a place text ``Local(_1) [mutable] -> field``."""
+    rest = F.regexp_extract(place, r"(?s) -> (.*)$", 1)
+    return F.struct(F.substring_index(place, " ", 1).alias("local"), place.contains(" [mutable]").alias("is_mutable"), F.nullif(rest, F.lit("")).alias("projection"))
+
+
 def hash_id(*parts: Column) -> Column:
     """A 64-bit id in hexadecimal; its role matters, not its value."""
     return F.lower(F.hex(F.xxhash64(*parts)))

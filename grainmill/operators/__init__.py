@@ -1 +1 @@
-
+"""Relational and grouped-map operators of the analysis."""

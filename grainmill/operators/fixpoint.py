@@ -270,6 +270,11 @@ def taint_markers(state: DataFrame) -> DataFrame:
     return state.select(*[c for c in state.columns if c not in ("alloc", "mask")], F.explode("alloc").alias("var"), marker.alias("marker")).where("marker IS NOT NULL").distinct()
 
 
+def block_taint(result: DataFrame, block: str, function: str = "main") -> DataFrame:
+    """(program_id, var, marker) at one block of a function."""
+    return result.where((F.col("kind") == "taint") & (F.col("node_id") == f"rust::{function}::{block}")).select("program_id", "var", "marker")
+
+
 def last_visited(result: DataFrame) -> DataFrame:
     """(program_id, node_id): the last visited node that is no dummy."""
     visits = result.where("kind = 'visit' AND NOT startswith(node_id, 'dummy')")

@@ -92,6 +92,11 @@ def _with_dummies(calls: DataFrame) -> DataFrame:
     return calls.withColumns({"enter": enter, "leave": leave} | ids)
 
 
+def call_registry(calls: DataFrame) -> DataFrame:
+    """(program_id, called, sites): the call sites of each C function."""
+    return calls.where("call_kind = 'ffi'").groupBy("program_id", "called").agg(F.array_sort(F.collect_set("site")).alias("sites"))
+
+
 def _edge(source: Column | str, destination: Column | str, label: str) -> Column:
     column = lambda x: F.col(x) if isinstance(x, str) else x
     return F.struct(column(source).alias("source"), column(destination).alias("destination"), F.lit(label).alias("label"))

@@ -1 +1 @@
-
+"""Whole analyses, registered queries and lineage cuts."""

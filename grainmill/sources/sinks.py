@@ -135,3 +135,8 @@ def write_lines(lines: DataFrame, folder: str) -> None:
     """Report or DOT lines as one text file a program."""
     ordered = lines.repartition("program_id").sortWithinPartitions("program_id", "line_no")
     ordered.select("program_id", "line").write.partitionBy("program_id").mode("overwrite").text(folder)
+
+
+def matching_lines(lines: DataFrame, pattern: str, column: str = "line") -> DataFrame:
+    """The lines of a log or report that a regular expression matches."""
+    return lines.where(F.col(column).rlike(pattern))
