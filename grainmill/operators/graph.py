@@ -1,8 +1,8 @@
 """Construction of the global graph: edge rules over blocks and C functions, and the node list.
 
-Every rule is one projection of the blocks joined with small name tables; the
-rules are united, so Catalyst plans them as one pass over the blocks each, with
-the name tables broadcast where they are small.
+The edges of a block are one array expression over its terminator, or over the
+call joined with name tables, so building a graph is one pass over the blocks
+and one over the calls; Spark broadcasts the name tables where they are small.
 """
 
 from __future__ import annotations
@@ -97,53 +97,69 @@ def call_registry(calls: DataFrame) -> DataFrame:
     return calls.where("call_kind = 'ffi'").groupBy("program_id", "called").agg(F.array_sort(F.collect_set("site")).alias("sites"))
 
 
-def _edge(source: Column | str, destination: Column | str, label: str) -> Column:
+_EDGE = "struct<rule:int,slot:int,source:string,destination:string,label:string>"
+
+
+def _edge(rule: int, slot: int | Column, source: Column | str, destination: Column | str, label: str) -> Column:
     column = lambda x: F.col(x) if isinstance(x, str) else x
-    return F.struct(column(source).alias("source"), column(destination).alias("destination"), F.lit(label).alias("label"))
+    number = F.lit(slot) if isinstance(slot, int) else slot
+    return F.struct(F.lit(rule).alias("rule"), number.cast("int").alias("slot"), column(source).alias("source"), column(destination).alias("destination"), F.lit(label).alias("label"))
+
+
+def _if(condition: Column, *edges: Column) -> Column:
+    return F.when(condition, F.array(*edges)).otherwise(_no_edges())
+
 
+def _no_edges() -> Column:
+    return F.array().cast(f"array<{_EDGE}>")
 
-def _rule(rows: DataFrame, rule: int, edges: Column) -> DataFrame:
-    exploded = rows.select("program_id", "function", "block_id", F.lit(rule).alias("rule"), F.posexplode(edges).alias("slot", "e"))
-    return exploded.select("program_id", "function", "block_id", "rule", "slot", "e.*")
+
+def _exploded(rows: DataFrame, *groups: Column) -> DataFrame:
+    each = rows.select("program_id", "function", "block_id", F.explode(F.flatten(F.array(*groups))).alias("e"))
+    return each.select("program_id", "function", "block_id", "e.*")
 
 
 def edge_rules(blocks: DataFrame, calls: DataFrame) -> DataFrame:
-    """(program_id, function, block_id, rule, slot, source, destination, label) of all edges but the C ones."""
-    own, function, t = names.mir_node(F.col("function"), F.col("block_id")), F.col("function"), F.col("terminator")
+    """(program_id, function, block_id, rule, slot, source, destination, label) of all edges but the C ones.
+
+    One pass over the terminators and one over the calls: a row's edges are one
+    array, which is exploded.
+    """
+    function, t, kind = F.col("function"), F.col("terminator"), F.col("terminator.kind")
+    own = names.mir_node(function, F.col("block_id"))
     at = lambda target: F.concat(F.lit("rust::"), function, F.lit("::"), target)
-    ffi, has_body = calls.where("call_kind = 'ffi'"), F.col("entry_id").isNotNull()
-    with_body = F.array(_edge("site", "enter", "FFI Call"), _edge("enter", "c_entry", "dummyCall->LLVM Entry"))
-    with_exit = F.array(_edge("c_exit", "leave", "LLVM Exit->dummyRet"), _edge("leave", "back", "dummyRet->MIR Return"))
+    unwound = F.coalesce(names.unwinds(t["unwind_target"]), F.lit(False))
+    cleanup = at(names.clean_target(t["unwind_target"]))
+    arms = F.filter(t["targets"], lambda arm: F.size(F.split(arm, ",")) >= 2)
+    target_of = lambda arm: F.trim(F.get(F.split(F.regexp_replace(arm, r"^[()]+|[()]+$", ""), ","), F.lit(1)))
+    of_terminators = _exploded(
+        blocks.where(kind.isin("Goto", "SwitchInt", "Assert", "Drop")),
+        _if(kind == "Goto", _edge(8, 0, own, at(t["target"]), "Goto")),
+        F.when((kind == "SwitchInt") & t["targets"].isNotNull(), F.transform(arms, lambda arm, i: _edge(9, i, own, at(target_of(arm)), "SwitchInt target"))).otherwise(_no_edges()),
+        _if((kind == "SwitchInt") & t["otherwise"].isNotNull(), _edge(10, 0, own, at(t["otherwise"]), "SwitchInt otherwise")),
+        _if(kind == "Assert", _edge(11, 0, own, at(t["return_target"]), "Assert success")),
+        _if((kind == "Assert") & unwound, _edge(12, 0, own, cleanup, "Assert unwind")),
+        _if(kind == "Drop", _edge(13, 0, own, at(t["return_target"]), "Drop return")),
+        _if((kind == "Drop") & unwound, _edge(14, 0, own, cleanup, "Drop unwind")),
+    )
+    call, has_body = F.col("call_kind"), F.col("entry_id").isNotNull()
+    ffi = call == "ffi"
     closure_at = lambda b: names.mir_node(F.col("closure"), b)
-    closure = F.array(
-        _edge("site", "enter", "Closure Call (dummy inserted)"), _edge("enter", closure_at(F.lit(0)), "dummyCall->ClosureEntry"), _edge(closure_at(F.lit(0)), closure_at(F.lit(1)), "Call return (fallback)"),
-        _edge(closure_at(F.col("closure_exit")), "leave", "ClosureExit->dummyRet"), _edge("leave", "back", "dummyRet->Closure Return"),
+    of_calls = _exploded(
+        calls,
+        _if(ffi & has_body, _edge(1, 0, "site", "enter", "FFI Call"), _edge(1, 1, "enter", "c_entry", "dummyCall->LLVM Entry")),
+        _if(ffi & has_body & F.col("exit_id").isNotNull(), _edge(1, 2, "c_exit", "leave", "LLVM Exit->dummyRet"), _edge(1, 3, "leave", "back", "dummyRet->MIR Return")),
+        _if(ffi & ~has_body & F.col("has_c"), _edge(2, 0, "site", "back", "FFI Call (stdlib)")),
+        _if(ffi & ~F.col("has_c"), _edge(3, 0, "site", "back", "FFI Call (no LLVM info)")),
+        _if(
+            call == "closure", _edge(4, 0, "site", "enter", "Closure Call (dummy inserted)"), _edge(4, 1, "enter", closure_at(F.lit(0)), "dummyCall->ClosureEntry"),
+            _edge(4, 2, closure_at(F.lit(0)), closure_at(F.lit(1)), "Call return (fallback)"), _edge(4, 3, closure_at(F.col("closure_exit")), "leave", "ClosureExit->dummyRet"), _edge(4, 4, "leave", "back", "dummyRet->Closure Return"),
+        ),
+        _if(call == "internal", _edge(5, 0, "site", "enter", "Internal Call (dummy inserted)"), _edge(5, 1, "enter", "leave", "dummyCall->dummyRet"), _edge(5, 2, "leave", "back", "dummyRet->Internal Return")),
+        _if((call == "external") & F.col("return_target").isNotNull(), _edge(6, 0, "site", "back", "Call return (fallback)")),
+        _if(F.coalesce(names.unwinds(F.col("unwind_target")), F.lit(False)), _edge(7, 0, own, at(names.clean_target(F.col("unwind_target"))), "Call unwind")),
     )
-    internal = F.array(_edge("site", "enter", "Internal Call (dummy inserted)"), _edge("enter", "leave", "dummyCall->dummyRet"), _edge("leave", "back", "dummyRet->Internal Return"))
-    of = lambda kind: blocks.where(t["kind"] == kind)
-    unwound = lambda rows: rows.where(names.unwinds(F.col("unwind_target")))
-    unwind_edge = lambda label: F.array(_edge(own, at(names.clean_target(F.col("unwind_target"))), label))
-    lifted = lambda kind: of(kind).withColumn("unwind_target", t["unwind_target"])
-    target_of = F.trim(F.get(F.split(F.regexp_replace(F.col("arm"), r"^[()]+|[()]+$", ""), ","), F.lit(1)))
-    arms = of("SwitchInt").select("program_id", "function", "block_id", F.posexplode(t["targets"]).alias("slot", "arm")).where(F.size(F.split("arm", ",")) >= 2)
-    switch = arms.select("program_id", "function", "block_id", F.lit(9).alias("rule"), "slot", own.alias("source"), at(target_of).alias("destination"), F.lit("SwitchInt target").alias("label"))
-    rules = [
-        _rule(ffi.where(has_body), 1, F.when(F.col("exit_id").isNotNull(), F.concat(with_body, with_exit)).otherwise(with_body)),
-        _rule(ffi.where(~has_body & F.col("has_c")), 2, F.array(_edge("site", "back", "FFI Call (stdlib)"))),
-        _rule(ffi.where(~F.col("has_c")), 3, F.array(_edge("site", "back", "FFI Call (no LLVM info)"))),
-        _rule(calls.where("call_kind = 'closure'"), 4, closure),
-        _rule(calls.where("call_kind = 'internal'"), 5, internal),
-        _rule(calls.where("call_kind = 'external' AND return_target IS NOT NULL"), 6, F.array(_edge("site", "back", "Call return (fallback)"))),
-        _rule(unwound(calls), 7, unwind_edge("Call unwind")),
-        _rule(of("Goto"), 8, F.array(_edge(own, at(t["target"]), "Goto"))),
-        switch,
-        _rule(of("SwitchInt").where(t["otherwise"].isNotNull()), 10, F.array(_edge(own, at(t["otherwise"]), "SwitchInt otherwise"))),
-        _rule(of("Assert"), 11, F.array(_edge(own, at(t["return_target"]), "Assert success"))),
-        _rule(unwound(lifted("Assert")), 12, unwind_edge("Assert unwind")),
-        _rule(of("Drop"), 13, F.array(_edge(own, at(t["return_target"]), "Drop return"))),
-        _rule(unwound(lifted("Drop")), 14, unwind_edge("Drop unwind")),
-    ]
-    return reduce(DataFrame.unionByName, rules)
+    return of_terminators.unionByName(of_calls)
 
 
 def node_list(blocks: DataFrame, calls: DataFrame, c_nodes: DataFrame | None) -> DataFrame:
