@@ -35,7 +35,7 @@ class RepeatRules:
 
     width: int = 200
     anchor: int = 32
-    hot_least: int = 20_000
+    hot_least: int = 2_000
     hot_share: float = 1 / 2000
 
     def __post_init__(self):
