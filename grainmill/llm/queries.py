@@ -93,6 +93,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
+_TEXTS = "texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def _covered(n: int) -> str:
+    """SQL for the flags of words in windows of n words that the row holds more than once."""
+    window = " || ' ' || ".join(["word", *(f"lead(word, {k}) OVER here" for k in range(1, n))])
+    return f"""
+        grams_{n} AS (SELECT row, i, chars, {window} AS gram FROM words WINDOW here AS (PARTITION BY row ORDER BY i)),
+        again_{n} AS (SELECT row, i, chars, gram IS NOT NULL AND count(*) OVER (PARTITION BY row, gram) > 1 AS again FROM grams_{n}),
+        inside_{n} AS (SELECT row, chars, bool_or(again) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM again_{n}),
+        cover_{n} AS (SELECT row, count(*) FILTER (WHERE inside) AS n, coalesce(sum(chars) FILTER (WHERE inside), 0) AS chars FROM inside_{n} GROUP BY row),"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": r"""
         WITH lines AS (
@@ -143,4 +156,30 @@ ORACLE_SQL: dict[str, str] = {
                     WHEN k.before < q.rest THEN least(s.size, (q.rest - k.before) // k.n) ELSE 0 END)::BIGINT AS taken
         FROM sized s JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
         LEFT JOIN keys k ON s.source IS NOT DISTINCT FROM k.source AND s.key = k.key""",
+    "op10_quality_rules": rf"""
+        WITH {_TEXTS}, listed AS (SELECT row, regexp_extract_all(text, '{_WORD}') AS list, string_split(text, chr(10)) AS lines, text FROM texts),
+        words AS (SELECT row, word, i, length(word) AS chars FROM (SELECT row, unnest(list) AS word, generate_subscripts(list, 1) AS i FROM listed)),
+        sizes AS (SELECT row, count(*) AS n_words, sum(chars) AS word_chars FROM words GROUP BY row),
+        {_covered(5)} {_covered(7)} {_covered(10)}
+        lined AS (SELECT row, line, row_number() OVER (PARTITION BY row, line ORDER BY i) > 1 AS later FROM (SELECT row, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM listed)),
+        doubled AS (SELECT row, count(*) AS n, sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) AS chars FROM lined WHERE later AND regexp_matches(line, '{_WORD}') GROUP BY row),
+        measured AS (
+            SELECT t.doc_id, coalesce(s.n_words, 0) AS n_words, coalesce(s.word_chars, 0)::BIGINT AS word_chars, length(t.text) - length(regexp_replace(t.text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+                   coalesce(d.n, 0) AS n_dup_lines, coalesce(a.n, 0) AS n_repeat_words, coalesce(d.chars, 0) AS line_chars, coalesce(a.chars, 0) AS c5, coalesce(b.chars, 0) AS c7, coalesce(c.chars, 0) AS c10
+            FROM texts t LEFT JOIN sizes s USING (row) LEFT JOIN doubled d USING (row) LEFT JOIN cover_5 a USING (row) LEFT JOIN cover_7 b USING (row) LEFT JOIN cover_10 c USING (row)
+        ), judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM measured)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND line_chars <= 0.30 * word_chars AND c5 <= 0.30 * word_chars AND c7 <= 0.25 * word_chars AND c10 <= 0.20 * word_chars AS kept
+        FROM judged""",
+    "op3_repeated_bytes": rf"""
+        WITH {_TEXTS}, coded AS (SELECT row, doc_id, hex(encode(text)) AS bytes, strlen(text) AS n FROM texts),
+        places AS (SELECT row, bytes, n, unnest(range(n)) AS i FROM coded),
+        strings AS (SELECT row, i, substr(bytes, 2 * i + 1, 2) AS byte, CASE WHEN i + 200 <= n THEN md5(substr(bytes, 2 * i + 1, 400)) END AS string FROM places),
+        again AS (SELECT string FROM strings WHERE string IS NOT NULL GROUP BY string HAVING count(*) > 1),
+        started AS (SELECT row, i, byte, string IS NOT NULL AND string IN (SELECT string FROM again) AS starts FROM strings),
+        gone AS (SELECT row, i, byte, bool_or(starts) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM started),
+        edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), FALSE) AS opens FROM gone),
+        cut AS (SELECT row, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM edges GROUP BY row)
+        SELECT c.doc_id, c.n::BIGINT AS n_bytes, coalesce(x.n_removed, 0) AS n_removed, coalesce(x.n_spans, 0) AS n_spans, sha256(unhex(coalesce(x.kept, ''))) AS kept_sha256
+        FROM coded c LEFT JOIN cut x USING (row)""",
 }

@@ -12,7 +12,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-
 from pyspark.sql import SparkSession
 
 from grainmill.plans.lineage import shared_folder, written  # noqa: F401  for the operators
