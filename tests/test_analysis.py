@@ -227,3 +227,15 @@ def test_call_classes(spark):
     assert got == cases
     scoped = rows.where("called = 'f'").select(*(classify.call_class(F.lit("in explicit_drop/main.rs: f()"), F.col("called"), s).alias(s) for s in ("details", "callee"))).first()
     assert tuple(scoped) == ("drop", "other")
+
+
+def test_writers(spark, analysed, tmp_path):
+    chosen = lambda t: t.where("program_id IN ('leak', 'closure')")
+    sinks.write_graphs(chosen(analysed.nodes), chosen(analysed.edges), str(tmp_path / "graphs"))
+    found = spark.read.option("wholetext", True).text(str(tmp_path / "graphs"))
+    assert {r.program_id for r in found.select("program_id").distinct().collect()} == {"leak", "closure"}
+    sinks.write_lines(chosen(analysed.report), str(tmp_path / "report"))
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report" / "program_id=leak")).collect())
+    assert text.startswith(sinks.RULE) and sinks.NEVER_HEADING in text
+    sinks.write_ffi_names(spark.createDataFrame([("p", "b"), ("p", "a"), ("p", "a")], FFI), str(tmp_path / "ffi"))
+    assert [r.function for r in readers.read_ffi_names(spark, str(tmp_path / "ffi"), "p").orderBy("function").collect()] == ["a", "b"]
