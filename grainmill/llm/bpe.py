@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Callable
+from functools import cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 from pathlib import Path
@@ -34,6 +35,7 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@cache
 def newer_letters() -> dict[int, str]:
     """Letters and numbers of this Unicode version that the tokenizer library, with an older one, takes for other characters."""
     import unicodedata
