@@ -29,3 +29,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/grainmill-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes all that ``written`` and the operators have left in the shared folder; returns how many tables went.
+
+    Frames that still read them fail afterwards, so this is for the end of a job.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "grainmill[-_]*")) or []
+    return sum(files.delete(status.getPath(), True) for status in found)

@@ -81,6 +81,14 @@ def test_small_projections(spark):
     assert tuple(kinds[0]) == ("intra", "ValNode", "LoadStmt") and kinds[1][0] == "unknown"
 
 
+def test_written_tables_and_their_removal(spark):
+    from grainmill.plans.lineage import clean, written
+
+    kept = written(spark.range(5), "numbers")
+    assert sorted(r.id for r in kept.collect()) == [*range(5)] and kept.schema == spark.range(5).schema
+    assert clean(spark) >= 1 and clean(spark) == 0
+
+
 def test_without_the_optional_parts(tmp_path):
     """The rest imports and answers when the llm folders and the pipeline are gone."""
     import shutil
