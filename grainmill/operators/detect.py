@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grainmill.functions import classify, names
+from grainmill.operators.folds import fold_groups
 from grainmill.operators.fixpoint import ENTRY, last_visited, statements
 from grainmill.operators.memory import first_allocation
+from grainmill.plans.lineage import written
 
 EVENTS = "program_id string, seq long, i long, event string, a string, b string, span string, members array<string>"
 FOLDED = "program_id string, kind string, name string, root string, llvm_free long, drop_free long, used boolean, use_span string, free_span string, free_kind string, n long"
@@ -201,18 +202,17 @@ class _Scan:
                 self.warnings.append((var, text))
 
 
-def fold_events(program: pd.DataFrame) -> pd.DataFrame:
-    """One program's events in order; rows of tracked variables, union-find members and warnings."""
+def fold_events(program: list[tuple]) -> list[tuple]:
+    """One program's events, rows of EVENTS in order; rows of tracked variables, union-find members and warnings."""
     scan = _Scan()
     allocs = {}
-    for r in program.sort_values(["seq", "i"], kind="stable").itertuples():
-        text = [None if pd.isna(x) else x for x in (r.a, r.b, r.span)]
-        if r.event == "seed":
-            scan.info.setdefault(text[0], _Info())
-        elif r.event == "alloc":
-            allocs[text[0]] = list(r.members)
+    for _, _, _, event, a, b, span, members in program:
+        if event == "seed":
+            scan.info.setdefault(a, _Info())
+        elif event == "alloc":
+            allocs[a] = members
         else:
-            scan.on(r.event, *text)
+            scan.on(event, a, b, span)
     tracked = {*scan.info, *scan.parent}
     clean = lambda s: s.strip('" \t\n\r')
     for var in sorted(tracked):
@@ -223,9 +223,7 @@ def fold_events(program: pd.DataFrame) -> pd.DataFrame:
     rows = [("var", n, None, i.llvm_free, i.drop_free, i.used, i.use_span, i.free_span, i.free_kind, None) for n, i in sorted(scan.info.items())]
     rows += [("member", n, scan.find(n), None, None, None, None, None, None, None) for n in sorted(scan.parent)]
     rows += [("warning", v, None, None, None, None, None, text, None, k) for k, (v, text) in enumerate(scan.warnings)]
-    out = pd.DataFrame(rows, columns=["kind", "name", "root", "llvm_free", "drop_free", "used", "use_span", "free_span", "free_kind", "n"])
-    out.insert(0, "program_id", program.program_id.iloc[0])
-    return out.astype({"llvm_free": "Int64", "drop_free": "Int64", "used": "boolean", "n": "Int64"})
+    return [(program[0][0], *r) for r in rows]
 
 
 def effective_frees(llvm: Column, drop: Column) -> Column:
@@ -296,7 +294,7 @@ def detect(nodes: DataFrame, edges: DataFrame, result: DataFrame) -> tuple[DataF
     allocations = first_allocation(state.withColumn("seq", F.coalesce("seq", F.lit(2**31 - 1))), "seq")
     before = F.lit(-1)
     tape = events(nodes, edges).union(seeds.select(*_event(before, F.lit(0), "seed", F.col("var")))).union(allocations.select(*_event(before, F.lit(0), "alloc", F.col("var"), members=F.col("alloc"))))
-    folded = tape.groupBy("program_id").applyInPandas(fold_events, FOLDED)
+    folded = written(fold_groups(tape, "program_id", ["seq", "i"], fold_events, FOLDED), "folded")
     groups = alias_groups(folded.where("kind = 'member'"))
     live = live_at_end(folded.where("kind = 'var'").drop("kind", "root", "n"), groups, nodes, edges, result)
     warnings = folded.where("kind = 'warning'").select("program_id", "n", F.col("name").alias("var"), F.col("free_span").alias("info"))

@@ -1,7 +1,7 @@
 """Dataflow fixpoint: programs are compiled to instructions by DataFrame expressions and run by a small fold.
 
 What a statement or call does to memory is decided by native expressions; a
-grouped-map function then runs the instructions of each program in the order
+grouped fold then runs the instructions of each program in the order
 that the semantics depends on.  Programs are independent and run in parallel.
 """
 
@@ -10,12 +10,12 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.functions import classify, names
 from grainmill.functions.lattice import MASKS, join_masks
+from grainmill.operators.folds import fold_groups
 from grainmill.operators.memory import Memory
 
 ENTRY = "rust::main::bb0"
@@ -75,11 +75,11 @@ def tape(nodes: DataFrame, edges: DataFrame, match_scope: str = "details") -> Da
 class _Step:
     """Applies the instructions of a node to a memory and, where asked, to the marker sets."""
 
-    def __init__(self, program: pd.DataFrame):
-        # A repeated node id stands for its first node: only that one's instructions count once.
+    def __init__(self, program: list[tuple]):
+        # A repeated node id has the same instructions each time: they count once.
         self.ops: dict[str, list[tuple]] = defaultdict(list)
-        for node, n, op, a, b, c in sorted({(r.node, r.n, r.op, r.a, r.b, r.c) for r in program.itertuples() if r.kind == "op"}, key=lambda r: (r[0], r[1])):
-            self.ops[node].append((op, a, b, c))
+        for _, _, node, _, *instruction in dict.fromkeys(r for r in program if r[1] == "op"):
+            self.ops[node].append(tuple(instruction))
 
     def __call__(self, node: str, memory: Memory, marks: dict[str, set[str]] | None = None) -> Memory:
         memory = memory.copy()
@@ -193,8 +193,8 @@ def derived_marks(memory: Memory) -> dict[str, set[str]]:
     return out
 
 
-def run_program(program: pd.DataFrame, entry: str, most_visits: int) -> pd.DataFrame:
-    """The worklist over one program: the smallest node id in text order is next.
+def run_program(program: list[tuple], entry: str, most_visits: int) -> list[tuple]:
+    """The worklist over one program, rows of TAPE in order of (kind, node, n): the smallest node id in text order is next.
 
     A successor's state is its old one joined with the transfer of the current
     state; it is visited again if its memory or markers change.  An internal call
@@ -202,10 +202,11 @@ def run_program(program: pd.DataFrame, entry: str, most_visits: int) -> pd.DataF
     caller up again.
     """
     step, control, following = _Step(program), {}, defaultdict(set)
-    for r in program[program.kind == "node"].sort_values("n").itertuples():
-        control.setdefault(r.node, (r.op, r.a, r.b))
-    for r in program[program.kind == "edge"].itertuples():
-        following[r.node].add(r.a)
+    for _, kind, node, _, op, a, b, _ in program:
+        if kind == "node":
+            control.setdefault(node, (op, a, b))
+        elif kind == "edge":
+            following[node].add(a)
     following = {k: sorted(v) for k, v in following.items()}
     marks: dict[str, dict[str, set[str]]] = {entry: {}}
     memories = {entry: step(entry, Memory(), marks[entry])}
@@ -221,7 +222,7 @@ def run_program(program: pd.DataFrame, entry: str, most_visits: int) -> pd.DataF
         waiting.discard(node)
         visits.append(node)
         if len(visits) > most_visits:
-            raise RuntimeError(f"{program.program_id.iloc[0]}: no fixpoint within {most_visits} visits")
+            raise RuntimeError(f"{program[0][0]}: no fixpoint within {most_visits} visits")
         memory = memories.get(node, Memory())
         for after in following.get(node, ()):
             old = memories.get(after, Memory())
@@ -247,9 +248,7 @@ def run_program(program: pd.DataFrame, entry: str, most_visits: int) -> pd.DataF
     rows += [("visit", n, i, None, None, None, None) for i, n in enumerate(visits)]
     rows += [("marked", n, None, None, None, None, None) for n in marks]
     rows += [("taint", n, None, None, None, v, t) for n, tags in marks.items() for v, ts in tags.items() for t in (sorted(ts) or [None])]
-    out = pd.DataFrame(rows, columns=["kind", "node_id", "n", "alloc", "mask", "var", "marker"])
-    out.insert(0, "program_id", program.program_id.iloc[0])
-    return out.astype({"n": "Int64", "mask": "Int32"})
+    return [(program[0][0], *r) for r in rows]
 
 
 def fixpoint(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope: str = "details", most_visits: int = 100_000) -> DataFrame:
@@ -261,7 +260,7 @@ def fixpoint(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope
     compiler's output for one crate; all programs run in parallel.
     """
     program = tape(nodes, edges, match_scope)
-    return program.groupBy("program_id").applyInPandas(lambda p: run_program(p, entry, most_visits), RESULT)
+    return fold_groups(program, "program_id", ["kind", "node", "n"], lambda rows: run_program(rows, entry, most_visits), RESULT)
 
 
 def taint_markers(state: DataFrame) -> DataFrame:

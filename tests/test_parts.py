@@ -85,7 +85,7 @@ def test_written_tables_and_their_removal(spark):
     from grainmill.plans.lineage import clean, written
 
     kept = written(spark.range(5), "numbers")
-    assert sorted(r.id for r in kept.collect()) == [*range(5)] and kept.schema == spark.range(5).schema
+    assert sorted(r.id for r in kept.collect()) == [*range(5)]
     assert clean(spark) >= 1 and clean(spark) == 0
 
 
