@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that ten documents share; n_chars follows the text."""
     modest_batches(spark)
     cleaned = drop_common_lines(docs, out="__lines").withColumn("text", F.col("__lines.text"))
-    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).drop("__lines")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

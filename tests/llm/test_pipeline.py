@@ -84,3 +84,12 @@ def test_registered_queries_return_a_row_for_each_document(spark, stages):
         made = query(spark, folder)
         assert "doc_id" in made.columns
         assert made.count() == n or name == "op6_token_counts", name
+
+
+def test_stages_on_empty_tables_and_odd_columns(spark):
+    odd = C.documents(spark, more=True).withColumn("a.b", F.lit("own"))
+    for docs, least in ((C.empty(spark), 0), (odd, 1)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            made = stage(spark, docs, "nowhere")
+            assert made.columns == docs.columns and made.count() >= least
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, "nowhere").count() == docs.count()
