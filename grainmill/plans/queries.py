@@ -112,7 +112,17 @@ def memory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
     SELECT root, '{' || string_agg(node, ', ' ORDER BY node) || '}' AS group_key FROM roots GROUP BY root""")
 def alias_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0.1")
+    """The lines that the recursive SQL holds only; ``alias_groups_all`` takes every line."""
+    return _groups_of(_read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0.1"))
+
+
+@_query()
+def alias_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups over every order line.  No SQL: the recursion holds a row for each pair of nodes of a component."""
+    return _groups_of(_read(spark, sf_dir, "lineitem"))
+
+
+def _groups_of(lines: DataFrame) -> DataFrame:
     edges = lines.select(F.concat(F.lit("p"), "l_partkey").alias("a"), F.concat(F.lit("s"), "l_suppkey").alias("b"))
     members = connected_components(edges, "a", "b").select(F.lit("all").alias("program_id"), F.col("component").alias("root"), F.col("node").alias("name"))
     return detect.alias_groups(members).select("root", "group_key")
