@@ -298,8 +298,21 @@ def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT DISTINCT 'llvm::' || called || '::node' || a || '::' || site AS source, 'llvm::' || called || '::node' || b || '::' || site AS destination FROM sites, c_edges
     WHERE 'llvm::' || called || '::node' || a || '::' || site IN (SELECT id FROM there) AND 'llvm::' || called || '::node' || b || '::' || site IN (SELECT id FROM there)""")
 def callsite_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of a small C graph, nations and their regions, for every call site."""
-    lines = _read(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    """Copies of a small C graph, nations and their regions, for the call sites of its SQL: lines of quantity 50. ``callsite_clone_all`` takes every line."""
+    return _clones_of(spark, sf_dir, _read(spark, sf_dir, "lineitem").where("l_quantity = 50"))
+
+
+@_query(r"""WITH sites AS (SELECT DISTINCT 'f' || l_suppkey AS called, 'rust::' || l_orderkey || '::bb' || l_linenumber AS site FROM lineitem),
+    c_edges AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation),
+    there AS (SELECT 'llvm::' || called || '::node' || n_nationkey || '::' || site AS id FROM sites, nation WHERE n_nationkey % 3 <> 0)
+    SELECT DISTINCT 'llvm::' || called || '::node' || a || '::' || site AS source, 'llvm::' || called || '::node' || b || '::' || site AS destination FROM sites, c_edges
+    WHERE 'llvm::' || called || '::node' || a || '::' || site IN (SELECT id FROM there) AND 'llvm::' || called || '::node' || b || '::' || site IN (SELECT id FROM there)""")
+def callsite_clone_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of a small C graph, nations and their regions, with every order line as a call site."""
+    return _clones_of(spark, sf_dir, _read(spark, sf_dir, "lineitem"))
+
+
+def _clones_of(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     calls = lines.select(F.lit("all").alias("program_id"), F.lit("ffi").alias("call_kind"), F.concat(F.lit("f"), "l_suppkey").alias("called"), names.mir_node(F.col("l_orderkey").cast("string"), F.col("l_linenumber")).alias("site")).distinct()
     nation = _read(spark, sf_dir, "nation")
     c_edges = nation.select(F.lit("all").alias("program_id"), F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("destination"))

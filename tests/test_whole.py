@@ -40,3 +40,10 @@ def test_alias_groups_all_takes_every_line(spark, tables):
         want = brute_groups([(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in lines])
         assert sorted(map(tuple, queries.QUERIES["alias_groups_all"](spark, folder).collect())) == want
     assert brute_groups([("p10", "s1"), ("p10", "s2"), ("p11", "s2")]) == [("p10", "{p10, p11, s1, s2}")]
+
+
+def test_callsite_clone_all_takes_every_line(spark, tables):
+    spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 0), (5, 4)], "n_nationkey long, n_regionkey long").write.parquet(f"{tables}/nation.parquet")
+    lines = spark.read.parquet(f"{tables}/lineitem.parquet").collect()
+    want = sorted(tuple(f"llvm::f{r.l_suppkey}::node{x}::rust::{r.l_orderkey}::bb{r.l_linenumber}" for x in edge) for r in lines for edge in ((1, 2), (2, 1), (5, 4)))
+    assert sorted(map(tuple, queries.QUERIES["callsite_clone_all"](spark, tables).collect())) == want
