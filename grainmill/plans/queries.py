@@ -353,9 +353,17 @@ def last_node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_HOURS_SQL} SELECT DISTINCT user_id, unnest(alloc) AS var, CASE mask WHEN 9 THEN 'assign' ELSE 'free' END AS marker FROM memories WHERE odd = 1 AND mask IN (9, 16)")
 def taint_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of the odd days, as in its SQL; ``taint_markers_all`` has those of all days."""
     return fixpoint.taint_markers(_memories(spark, sf_dir)[0])
 
 
+@_query(f"WITH {_HOURS_SQL} SELECT DISTINCT user_id, unnest(alloc) AS var, CASE mask WHEN 9 THEN 'assign' ELSE 'free' END AS marker FROM memories WHERE mask IN (9, 16)")
+def taint_markers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers of the memories of the odd days and of the even ones."""
+    odd, even = _memories(spark, sf_dir)
+    return fixpoint.taint_markers(odd.unionByName(even))
+
+
 @_query(_REPORT_SQL + """, flags AS (SELECT used AND frees > 0 AND free_span IS NOT NULL AND coalesce(CAST(split_part(use_span, ':', -4) AS BIGINT) > CAST(split_part(free_span, ':', -4) AS BIGINT), FALSE) AS u, frees >= 2 AS d, frees = 0 AS n, alloc_key FROM report)
     SELECT alloc_key, CASE WHEN NOT (u OR d OR n) THEN 'clean' ELSE concat_ws('+', CASE WHEN u THEN 'use' END, CASE WHEN d THEN 'double' END, CASE WHEN n THEN 'never' END) END AS finding FROM flags""")
 def report_case(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,3 +47,10 @@ def test_callsite_clone_all_takes_every_line(spark, tables):
     lines = spark.read.parquet(f"{tables}/lineitem.parquet").collect()
     want = sorted(tuple(f"llvm::f{r.l_suppkey}::node{x}::rust::{r.l_orderkey}::bb{r.l_linenumber}" for x in edge) for r in lines for edge in ((1, 2), (2, 1), (5, 4)))
     assert sorted(map(tuple, queries.QUERIES["callsite_clone_all"](spark, tables).collect())) == want
+
+
+def test_taint_markers_all_takes_even_days(spark, tables):
+    events = [(1, "2024-01-01 05:00:00", "purchase"), (2, "2024-01-02 05:00:00", "purchase"), (3, "2024-01-04 05:00:00", "error"), (4, "2024-01-02 05:00:00", "view")]
+    spark.createDataFrame(events, "user_id long, ts string, event_type string").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type").write.parquet(f"{tables}/events.parquet")
+    made = queries.QUERIES["taint_markers_all"](spark, tables).select("user_id", "var", "marker")
+    assert sorted(map(tuple, made.collect())) == [(1, "purchase", "assign"), (2, "purchase", "assign"), (3, "error", "free")]
