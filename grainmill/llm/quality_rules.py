@@ -60,7 +60,7 @@ def _covered(word_hash: np.ndarray, word_doc: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         rolled = np.zeros(count, np.uint64)
         for i in range(n):
-            rolled = rolled * np.uint64(0xC2B2AE3D27D4EB4F) + word_hash[i : i + count]
+            rolled = (rolled ^ (rolled >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F) + word_hash[i : i + count]
         keys = mix(rolled ^ mix(word_doc[:count].astype(np.uint64) + np.uint64(n)))
     whole = np.flatnonzero(word_doc[:count] == word_doc[n - 1 :])
     hits = whole[_repeated(keys[whole])]

@@ -45,7 +45,8 @@ def document_statistics(chunk: Chunk) -> np.ndarray:
     size = np.maximum(per(length), 1)
     share = lambda table: np.sqrt(per(_flag_words(table, chunk, starts, ends)) / size)
     has = lambda table: per(_flag_words(table, chunk, starts, ends) > 0) / some
-    hashes, doc = chunk.hasher()(starts, ends), np.repeat(np.arange(chunk.n), n)
+    hashed = chunk.hasher()
+    hashes, doc = hashed(starts, ends), np.repeat(np.arange(chunk.n), n)
     with np.errstate(over="ignore"):
         keys = mix(hashes ^ mix(doc.astype(np.uint64)))
     unique, first = np.unique(keys, return_index=True)
@@ -69,7 +70,7 @@ def document_statistics(chunk: Chunk) -> np.ndarray:
     line_starts, line_ends = line_starts[filled], line_ends[filled]
     line_doc = chunk.document_of(line_starts)
     with np.errstate(over="ignore"):
-        line_key = mix(chunk.hasher()(line_starts, line_ends) ^ mix(line_doc.astype(np.uint64)))
+        line_key = mix(hashed(line_starts, line_ends) ^ mix(line_doc.astype(np.uint64)))
     _, line_first = np.unique(line_key, return_index=True)
     lines = np.bincount(line_doc, minlength=chunk.n)
     distinct = np.bincount(line_doc[line_first], minlength=chunk.n)

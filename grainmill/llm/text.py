@@ -26,19 +26,39 @@ NEWLINE = 10
 #: Bytes of text that are laid out as numpy arrays at a time.
 CHUNK_BYTES = 1 << 19
 
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_INVERSE = np.uint64(pow(int(MULTIPLIER), -1, 1 << 64))
-_BYTE_CODES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = np.ones(1, np.uint64)
-_inverse_powers = np.ones(1, np.uint64)
+#: Span hashes are two polynomials modulo this prime, each with its own base and byte codes drawn once.
+PRIME = (1 << 31) - 1
+_BITS, _PRIME = np.uint64(31), np.uint64(PRIME)
+_random = np.random.default_rng(20240229)
+_BASES = tuple(int(b) for b in _random.integers(1 << 20, PRIME, 2))
+_BYTE_CODES = _random.integers(1, PRIME, (2, 256), dtype=np.uint64)
 
 
-def _grow_powers(n: int) -> None:
-    global _powers, _inverse_powers
-    if len(_powers) < n:
-        with np.errstate(over="ignore"):
-            _powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, MULTIPLIER))])
-            _inverse_powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INVERSE))])
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Smaller numbers with the same remainders; below 2**32 for values below 2**62."""
+    return (x & _PRIME) + (x >> _BITS)
+
+
+def _remainder(x: np.ndarray) -> np.ndarray:
+    x = _folded(_folded(x))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+class _Powers:
+    """Powers of a base modulo the prime, as many as the longest array so far asked for."""
+
+    def __init__(self, base: int):
+        self.base, self.table = base, np.ones(1, np.uint32)
+
+    def __call__(self, n: int) -> np.ndarray:
+        while len(self.table) < n:
+            step = np.uint64(pow(self.base, len(self.table), PRIME))
+            self.table = np.concatenate([self.table, _remainder(self.table * step).astype(np.uint32)])
+        return self.table
+
+
+_powers = [_Powers(b) for b in _BASES]
+_inverse_powers = [_Powers(pow(b, -1, PRIME)) for b in _BASES]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -93,24 +113,29 @@ class Chunk:
         """How many of the ascending span starts lie in each document."""
         return np.diff(np.searchsorted(starts, self.offsets))
 
-    def hasher(self, codes: np.ndarray = _BYTE_CODES) -> "SpanHasher":
-        return SpanHasher(self.data, codes)
+    def hasher(self) -> "SpanHasher":
+        return SpanHasher(self.data)
 
 
 class SpanHasher:
-    """Polynomial hashes modulo 2**64 of any span of a byte array, from one prefix sum."""
+    """Hashes of any span of a byte array, from two prefix sums modulo a prime.
 
-    def __init__(self, data: np.ndarray, codes: np.ndarray = _BYTE_CODES):
-        _grow_powers(len(data) + 1)
-        with np.errstate(over="ignore"):
-            self.prefix = np.empty(len(data) + 1, np.uint64)
-            self.prefix[0] = 0
-            np.cumsum(codes[data] * _powers[: len(data)], out=self.prefix[1:])
+    Two different spans of n bytes agree with a chance of about ``(n / 2**31) ** 2``
+    over the draw of the bases, whatever the bytes: a prime modulus has no texts
+    that collide for every base, as powers of two have.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.prefix = np.zeros((2, len(data) + 1), np.uint64)
+        for prefix, codes, powers in zip(self.prefix, _BYTE_CODES, _powers):
+            # Folded terms stay below 2**32, so their sums fit for 2**31 bytes.
+            np.cumsum(_folded(codes[data] * powers(len(data))[: len(data)]), out=prefix[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        most = int(starts.max(initial=0)) + 1
+        first, second = (_remainder(_remainder(prefix[ends] - prefix[starts]) * powers(most)[starts]) for prefix, powers in zip(self.prefix, _inverse_powers))
         with np.errstate(over="ignore"):
-            value = (self.prefix[ends] - self.prefix[starts]) * _inverse_powers[starts]
-            return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return mix((first << _BITS | second) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[Chunk]:
