@@ -41,23 +41,26 @@ def trigrams(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 @dataclass(frozen=True)
 class KneserNeyRules:
-    """``discount`` is taken from each count.  Counts of a class are used only where they differ from the
-    other class's by ``deviations`` standard deviations and by a factor of ``factor`` in probability."""
+    """``discount`` is taken from each count, all of a smaller one, and its mass goes to the backoff.
+    ``strongest``: words of a text whose ratios make the second evidence of ``evidence``."""
 
-    discount: float = 0.75
-    deviations: float = 3.0
-    factor: float = 4.0
+    discount: float = 4.0
+    strongest: int = 3
 
 
 @dataclass(frozen=True)
 class Counts:
     """Continuation counts with a column for each of the classes 0 and 1.
 
-    ``words``: how many different words come before each word; ``pairs``: before
-    each pair (first, second); ``contexts``: the sum of the latter over all pairs
-    with a first word and the number of such pairs; ``word_types``: the sum of
-    the counts of all words, also of those not given here, and ``vocabulary``:
-    how many words have a count.
+    ``words``: how many different words come before each word; ``pairs`` (first,
+    second): before each pair; ``contexts``: the sum of the latter over all pairs
+    with a first word, and of the part of each that the discount takes.
+    ``word_totals``, ``word_held`` and ``vocabulary``: sum, discounted part and
+    number of all words, the first two by class, and of the classes together.
+
+    Words that are no more than the discount in both classes together, pairs
+    that are so in either class, and the contexts of such pairs only may be left
+    out: the discount takes all of them, so no probability changes.
     """
 
     words: np.ndarray
@@ -67,70 +70,66 @@ class Counts:
     pair_counts: np.ndarray
     contexts: np.ndarray
     context_totals: np.ndarray
-    context_types: np.ndarray
-    word_types: np.ndarray
-    vocabulary: np.ndarray
+    context_held: np.ndarray
+    word_totals: np.ndarray
+    word_held: np.ndarray
+    shared_held: float
+    vocabulary: int
+
 
+class KneserNey:
+    """Two class models of words in running text over one shared backoff.
 
-class LogRatio:
-    """log P_1(w | u) - log P_0(w | u) of the class models, for words in running text.
+    With D the discount and N counting different predecessors, so that copies of
+    one text count once::
 
-    P_c(w | u) = max(N_c(uw) - D, 0) / N_c(u.) + rest_c(u) P_c(w), and
-    P_c(w) = max(N_c(w) - D, 0) / N_c + rest_c P(w), where N counts different
-    predecessors, so that copies of one text count once, and the last P, of both
-    classes together, is shared.  Words and pairs without a significant
-    difference between the classes back off to what the classes share and have
-    the ratio 0; so do words never seen.
+        P_c(w | u) = max(N_c(u w) - D, 0) / N_c(u) + held_c(u) P_c(w)
+        P_c(w)     = max(N_c(w) - D, 0) / N_c + held_c P(w)
+        P(w)       = max(N_0(w) + N_1(w) - D, 0) / N + held / (V + 1)
+
+    Each ``held`` is the share of counts that the discount took, so each sums to
+    1 over the V words and the unknown one.  A context that a class has not seen
+    holds back all; a class without any count has the shared P.
     """
 
     def __init__(self, counts: Counts, rules: KneserNeyRules = KneserNeyRules()):
         discount = rules.discount
-        n, total = counts.word_counts.astype(float), np.maximum(counts.word_types.astype(float), 1)
-        both = n.sum(axis=1)
-        shared = (both + 1) / (total.sum() + len(n) + 1)
-        rest = np.clip(discount * counts.vocabulary / total, 1e-6, 1)
-        p = np.maximum(n - discount, 0) / total + rest * shared[:, None]
-        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-        telling = self._telling(n, total[None, :], ratio, rules)
         order = np.argsort(counts.words)
-        self.words, self.word_ratio = counts.words[order], np.where(telling, ratio, 0.0)[order]
+        self.words, n = counts.words[order], counts.word_counts[order].astype(float)
+        total, held = counts.word_totals.astype(float), counts.word_held.astype(float)
+        everything = max(total.sum(), 1.0)
+        self.unknown_shared = (counts.shared_held / everything if total.sum() else 1.0) / (counts.vocabulary + 1)
+        shared = np.maximum(n.sum(axis=1) - discount, 0) / everything + self.unknown_shared
+        seen = total > 0
+        back = np.where(seen, held / np.maximum(total, 1), 1.0)
+        self.word_p = np.where(seen, np.maximum(n - discount, 0) / np.maximum(total, 1), 0) + back * shared[:, None]
+        self.unknown_p = back * self.unknown_shared
 
-        at, known = _find(counts.words[order], counts.seconds)
-        word_p, by_word = np.full((len(at), 2), 1e-9), np.zeros(len(at))
-        word_p[known], by_word[known] = p[order][at[known]], self.word_ratio[at[known]]
         order = np.argsort(counts.contexts)
-        at, known = _find(counts.contexts[order], counts.firsts)
-        totals, types = np.zeros((2, len(at), 2))
-        totals[known], types[known] = counts.context_totals[order][at[known]], counts.context_types[order][at[known]]
-        n = counts.pair_counts.astype(float)
-        seen = totals > 0
-        held_back = np.where(seen, discount * types / np.maximum(totals, 1), 1.0)
-        p = np.where(seen, np.maximum(n - discount, 0) / np.maximum(totals, 1), 0) + held_back * word_p
-        ratio = np.log(p[:, 1]) - np.log(p[:, 0])
-        keep = self._telling(n, np.maximum(totals, 0.5), ratio, rules) & (ratio != by_word) & seen.all(axis=1)
-        key = _pair_key(counts.firsts[keep], counts.seconds[keep])
+        self.contexts = counts.contexts[order]
+        totals, kept_back = counts.context_totals[order].astype(float), counts.context_held[order].astype(float)
+        self.held_back = np.where(totals > 0, kept_back / np.maximum(totals, 1), 1.0)
+        at, known = _find(self.contexts, counts.firsts)
+        if not known.all():
+            raise ValueError("a pair without its context")
+        gain = np.maximum(counts.pair_counts - discount, 0) / np.maximum(totals[at], 1)
+        key = _pair_key(counts.firsts, counts.seconds)
         order = np.argsort(key)
-        self.pairs, self.pair_ratio = key[order], ratio[keep][order]
+        self.pairs, self.pair_gain = key[order], gain[order]
 
-    @staticmethod
-    def _telling(n: np.ndarray, total: np.ndarray, ratio: np.ndarray, rules: KneserNeyRules) -> np.ndarray:
-        expected = n.sum(axis=1) * total[:, 1] / total.sum(axis=1)
-        off = np.abs(n[:, 1] - expected) / np.sqrt(expected * total[:, 0] / total.sum(axis=1) + 1)
-        return (off > rules.deviations) & (np.abs(ratio) > np.log(rules.factor))
-
-    def __call__(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
-        at, known = _find(self.words, words)
-        out = np.where(known, self.word_ratio[at], 0.0) if len(self.words) else np.zeros(len(words))
-        if len(self.pairs):
-            at, known = _find(self.pairs, _pair_key(before, words))
-            out = np.where(known, self.pair_ratio[at], out)
+    def probabilities(self, before: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """P_0 and P_1 of each word after the one before it."""
+        out = self._looked_up(self.words, self.word_p, words, self.unknown_p)
+        out *= self._looked_up(self.contexts, self.held_back, before, np.ones(2))
+        out += self._looked_up(self.pairs, self.pair_gain, _pair_key(before, words), np.zeros(2))
         return out
 
-    def compact(self) -> "LogRatio":
-        """Less the words whose ratio is 0, which answers alike."""
-        keep = self.word_ratio != 0
-        self.words, self.word_ratio = self.words[keep], self.word_ratio[keep]
-        return self
+    @staticmethod
+    def _looked_up(table: np.ndarray, rows: np.ndarray, values: np.ndarray, otherwise: np.ndarray) -> np.ndarray:
+        at, known = _find(table, values)
+        out = np.tile(otherwise, (len(values), 1))
+        out[known] = rows[at[known]]
+        return out
 
 
 def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +144,22 @@ def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
         return (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + second
 
 
-def document_scores(chunk: Chunk, ratio: LogRatio) -> np.ndarray:
-    """The summed log ratio of each document over the square root of its words: chance sums grow as this root."""
+def evidence(chunk: Chunk, model: KneserNey, strongest: int) -> np.ndarray:
+    """Documents x 2: log P_1 - log P_0 a word, over the whole text and over its ``strongest`` words.
+
+    The first is the difference of the two log-likelihoods divided by the number
+    of words.  In a long text it hides two telling words, so the second divides
+    the largest ratios by ``strongest``, which is the same at every length.  A
+    text without words has 0 and 0.
+    """
     document, _, before, words = trigrams(chunk)
-    sums = np.bincount(document, ratio(before, words), minlength=chunk.n) if len(words) else np.zeros(chunk.n)
-    return sums / np.sqrt(np.maximum(np.bincount(document, minlength=chunk.n), 1))
+    if not len(words):
+        return np.zeros((chunk.n, 2))
+    logs = np.log(model.probabilities(before, words))
+    ratio = logs[:, 1] - logs[:, 0]
+    counts = np.bincount(document, minlength=chunk.n)
+    mean = np.bincount(document, ratio, minlength=chunk.n) / np.maximum(counts, 1)
+    order = np.lexsort((-ratio, document))
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
+    top = order[rank < strongest]
+    return np.stack([mean, np.bincount(document[top], ratio[top], minlength=chunk.n) / strongest], axis=1)

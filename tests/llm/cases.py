@@ -33,6 +33,11 @@ def texts() -> list[str | None]:
     return out
 
 
+def thue_morse(n: int, letters: str = "ab") -> str:
+    """The first n letters of the Thue-Morse word; with the letters swapped, sums over powers of two cannot tell it apart."""
+    return "".join(letters[i.bit_count() & 1] for i in range(n))
+
+
 def rows() -> list[tuple]:
     found = [(i * 3, t, None if i % 7 == 0 else "en", None if i % 11 == 0 else f"src{i % 4}", len(t) if t is not None else None) for i, t in enumerate(texts())]
     return [*found, (None, "a row without an id", None, None, None), (None, None, None, None, None), found[40], found[40]]

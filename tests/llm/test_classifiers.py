@@ -1,5 +1,9 @@
+import math
 import random
+import re
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,6 +13,7 @@ from grainmill.llm import kneser_ney, quality_classifier, toxicity
 from grainmill.llm.statistics import NAMES, document_statistics
 from grainmill.llm.text import chunks
 from tests.llm import cases as C
+from tests.llm.cases import WORD, thue_morse
 
 import pyarrow as pa
 
@@ -94,9 +99,109 @@ def test_statistics_are_finite_for_any_text():
     assert np.allclose(rows, alone)
 
 
-def test_copies_of_one_text_do_not_make_its_words_telling():
-    counts = lambda words, n: kneser_ney.Counts(*([np.array(words, np.uint64), np.array(n)] + [np.empty(0, np.uint64)] * 2 + [np.empty((0, 2), int)] + [np.empty(0, np.uint64)] + [np.empty((0, 2), int)] * 2 + [np.array([5000, 5000]), np.array([300, 300])]))
-    ratio = kneser_ney.LogRatio(counts([5, 6, 7], [[0, 1], [0, 80], [40, 44]]))
-    assert ratio.word_ratio[0] == 0 and ratio.word_ratio[1] > 2 and ratio.word_ratio[2] == 0
-    same = ratio(np.zeros(4, np.uint64), np.array([5, 6, 7, 99], np.uint64)).tolist()
-    assert same == ratio.compact()(np.zeros(4, np.uint64), np.array([5, 6, 7, 99], np.uint64)).tolist()
+def plain_models(texts, discount):
+    """The class models by dictionaries: (vocabulary, a function (class, word before, word) -> probability)."""
+    triples = [set(), set()]
+    for text, y in texts:
+        words = ["<s>", "<s>", *re.findall(r"[A-Za-z0-9\u0080-\U0010ffff]+", (text or "").lower())]
+        triples[y] |= {*zip(words, words[1:], words[2:])}
+    pairs = [Counter((u, w) for _, u, w in t) for t in triples]
+    words = [Counter(w for _, w in p) for p in pairs]
+    both = words[0] + words[1]
+    taken = lambda counts: sum(min(n, discount) for n in counts)
+
+    def shared(w):
+        return max(both[w] - discount, 0) / both.total() + taken(both.values()) / both.total() / (len(both) + 1)
+
+    def alone(c, w):
+        return max(words[c][w] - discount, 0) / words[c].total() + taken(words[c].values()) / words[c].total() * shared(w)
+
+    def after(c, u, w):
+        follow = {x: n for (v, x), n in pairs[c].items() if v == u}
+        if not follow:
+            return alone(c, w)
+        total = sum(follow.values())
+        return max(follow.get(w, 0) - discount, 0) / total + taken(follow.values()) / total * alone(c, w)
+
+    return sorted(both), after
+
+
+@pytest.mark.parametrize("discount", [0.75, 2.0, 4.0])
+def test_probabilities_match_a_dictionary_and_sum_to_one(spark, discount):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(12)] + ["Idiot", "été"]
+    weights = [2.0 ** -(i / 2) for i in range(14)]
+    texts = [(" ".join(rng.choices(words, [*weights[:12], 0.3 * y, 0.1], k=rng.randint(1, 60))), y) for y in (0, 0, 1) for _ in range(15)]
+    texts += [texts[0], (None, 0), ("", 1)]
+    frame = spark.createDataFrame([(y, False, t) for t, y in texts], "y int, late boolean, text string")
+    pairs = toxicity._triples(frame).groupBy("y", "u", "w").agg(F.count(F.lit(1)).alias("n"), F.count(F.lit(1)).alias("n_early"))
+    rules = toxicity.ToxicityRules(model=kneser_ney.KneserNeyRules(discount=discount))
+    model = kneser_ney.KneserNey(toxicity._counts(pairs, rules, early=False), rules.model)
+    vocabulary, plain = plain_models(texts, discount)
+
+    def hashes(names):
+        (chunk,) = chunks(pa.array([" ".join(names)]))
+        return kneser_ney.folded_words(chunk)[1]
+
+    asked = [*vocabulary, "stranger"]
+    keys = hashes(asked)
+    for u, first in [("<s>", kneser_ney.START), *zip(vocabulary, keys), ("stranger", keys[-1])]:
+        got = model.probabilities(np.full(len(keys), first, np.uint64), keys)
+        assert np.allclose(got, [[plain(c, u, w) for c in (0, 1)] for w in asked], atol=1e-12)
+        assert np.allclose(got.sum(axis=0), 1)
+
+
+def test_evidence_is_the_length_normalised_difference(spark):
+    rules = toxicity.ToxicityRules()
+    texts = [("good day to all of you", 0)] * 3 + [(f"you {a} fool {b} fool", 1) for a in "abcdefgh" for b in "ijklmnop"]
+    frame = spark.createDataFrame([(y, False, t) for t, y in texts], "y int, late boolean, text string")
+    pairs = toxicity._triples(frame).groupBy("y", "u", "w").agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("n_early"))
+    model = kneser_ney.KneserNey(toxicity._counts(pairs, rules, early=False), rules.model)
+    _, plain = plain_models(texts, rules.model.discount)
+    asked = ["", "fool", "good fool day", "a fool of you fool to all fool"]
+    (chunk,) = chunks(pa.array(asked))
+    for text, (mean, top) in zip(asked, kneser_ney.evidence(chunk, model, 3)):
+        words = ["<s>", *text.split()]
+        ratios = [np.log(plain(1, u, w) / plain(0, u, w)) for u, w in zip(words, words[1:])]
+        assert np.isclose(mean, np.mean(ratios or [0])) and np.isclose(top, sum(sorted(ratios)[-3:]) / 3)
+
+
+def test_clashing_columns_do_not_matter(spark, labelled):
+    docs, labels = labelled
+    more = docs
+    for name in ("y", "late", "u", "w", "n", "n_early", "score", "held_out", "statistics", "TEXT_", "quality", "toxic"):
+        more = more.withColumn(name, F.lit("own"))
+    for score in (quality_classifier.score_quality, toxicity.score_toxicity):
+        got, want = ({(r.doc_id, round(r.score, 9)) for r in score(d, labels).collect()} for d in (more, docs))
+        assert got == want
+
+
+def plain_statistics(text):
+    words, share = WORD.findall(text), lambda found, n: math.sqrt(found / max(n, 1))
+    n, chars = len(words), sum(map(len, words))
+    mean = chars / max(n, 1)
+    spread = math.sqrt(max(sum(len(w) ** 2 for w in words) / max(n, 1) - mean**2, 0))
+    count = lambda alphabet: sum(c in alphabet for w in words for c in w)
+    holding = lambda alphabet: sum(any(c in alphabet for c in w) for w in words) / max(n, 1)
+    upper, lower, digits, stops = string.ascii_uppercase, string.ascii_lowercase, string.digits, ".,;:?'\"()-"
+    symbols = "#*$%&<>@^~=+_{}[]\\/"
+    plain = {*upper, *lower, *digits, *stops, *symbols, "|", "!"}
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    fours, repeats = set(), 0
+    for i in range(n - 3):
+        repeats += (window := tuple(words[i : i + 4])) in fours
+        fours.add(window)
+    capital = sum(len(w) > 1 and any(c in upper for c in w) and not any(c in lower for c in w) for w in words)
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), share(count(upper), chars), share(count(digits), chars), share(count(stops), chars),
+        math.sqrt(holding(symbols)), math.sqrt(holding("|")), math.sqrt(holding("!")), share(capital, n), math.log1p(n / max(len(lines), 1)),
+        share(len(lines) - len(set(lines)), len(lines)), share(repeats, n), share(sum(a == b for a, b in zip(words, words[1:])), n), len(set(words)) / max(n, 1),
+        share(sum(c not in plain and ord(c) < 128 for w in words for c in w), chars),
+    ]
+
+
+def test_statistics_match_their_definitions():
+    texts = [*filter(None, C.texts()), "A|b! a|B <x>\nAB AB a b c d a b c d\nAB AB a b c d a b c d\n\n12 {3} `q`\x01", "é É! 中文中文", thue_morse(1024) + "\n" + thue_morse(1024, "ba")]
+    got = np.concatenate([document_statistics(c) for c in chunks(pa.array(texts), 3000)])
+    for text, row in zip(texts, got):
+        assert np.allclose(row, plain_statistics(text)), (text[:50], dict(zip(NAMES, row - plain_statistics(text))))
