@@ -2,41 +2,75 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import suppress
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER = "grainmill.local.shared"
+_TABLE = "grainmill_{}_{}_{}"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where that is unset, as in tests."""
+    """``spark.checkpoint.dir``; a temporary folder only where that is unset and Spark runs in one process, as in tests.
+
+    On a cluster an unset folder is an error: what executors write to folders of
+    their own is lost to the others.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.conf.get(_OWN_FOLDER, None)
         if not folder:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="grainmill-")
             spark.conf.set(_OWN_FOLDER, folder)
     return folder.rstrip("/")
 
 
+def _job(spark: SparkSession) -> str:
+    return re.sub(r"\W", "_", spark.sparkContext.applicationId)
+
+
+def job_folder(spark: SparkSession) -> str:
+    """The folder of this application below the shared one, so that jobs that share it do not meet."""
+    return f"{shared_folder(spark)}/grainmill-{_job(spark)}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """The rows written once to the shared folder and read back.
+    """The rows written once to the job's folder and read back.
 
     A later loss of an executor costs a reread, and no plan grows over rounds.
     """
-    path = f"{shared_folder(df.sparkSession)}/grainmill-{label}-{uuid.uuid4().hex}"
+    path = f"{job_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, parts: int, keys: list[str], label: str) -> DataFrame:
+    """As ``written``, in a table bucketed by ``keys``, which joins on them need not shuffle again."""
+    spark = df.sparkSession
+    name = _TABLE.format(label, _job(spark), uuid.uuid4().hex)
+    df.write.bucketBy(parts, *keys).option("path", f"{job_folder(spark)}/{name}").format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 def clean(spark: SparkSession) -> int:
-    """Deletes all that ``written`` and the operators have left in the shared folder; returns how many tables went.
+    """Deletes all that ``written`` and ``bucketed`` of this job have left, catalog entries too; returns how many tables went.
 
     Frames that still read them fail afterwards, so this is for the end of a job.
+    Other jobs' tables in the same folder stay.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    for table in spark.catalog.listTables(pattern=_TABLE.format("*", _job(spark), "*")):
+        with suppress(AnalysisException):
+            spark.sql(f"DROP TABLE IF EXISTS `{table.name}`")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder = hadoop.Path(job_folder(spark))
     files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "grainmill[-_]*")) or []
-    return sum(files.delete(status.getPath(), True) for status in found)
+    found = files.listStatus(folder) if files.exists(folder) else []
+    gone = len(found)
+    files.delete(folder, True)
+    return gone
