@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from grainmill.llm.suffix_sort import equal_suffixes
-from grainmill.llm.text import CHUNK_BYTES, SpanHasher, shared_folder, written
+from grainmill.llm.text import CHUNK_BYTES, SpanHasher, bucketed, written
+
+_xxh3 = xxhash.xxh3_64_intdigest
 
 _POSITION_BITS = np.uint64(31)
+_OUT_ROWS = 10_000
 #: A place packs a run's first byte, the anchor's distance from it and the number of strings, the last two in so many bits.
 _PLACE_BITS = 12
 _PLACE_MASK = (1 << _PLACE_BITS) - 1
@@ -28,15 +33,16 @@ class RepeatRules:
     """Each byte inside a ``width``-byte string that also starts elsewhere is repeated.
 
     Strings are bucketed by their minimizer, the ``anchor``-byte substring with
-    the least hash.  ``hot_least`` and ``hot_share`` say which buckets are
-    settled string by string instead of in one task: those with at least so many
-    runs of strings and about that share of all.
+    the least hash.  A bucket of more than ``bucket_runs`` different runs of
+    strings is dealt by the bytes around the minimizer to several tasks, and a
+    group of these of over ``group_bytes`` string by string.  Both limits are
+    absolute, so no task grows with the corpus.
     """
 
     width: int = 200
     anchor: int = 32
-    hot_least: int = 20_000
-    hot_share: float = 1 / 2000
+    bucket_runs: int = 2000
+    group_bytes: int = 8 << 20
 
     def __post_init__(self):
         if not 0 < self.anchor <= self.width < 1 << _PLACE_BITS:
@@ -78,30 +84,9 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray, rules: RepeatRules) ->
     first = np.flatnonzero(fresh & whole)
     turn = np.append(np.flatnonzero(fresh | ~whole), n)
     count = turn[np.searchsorted(turn, first, side="right")] - first
-    return first, anchor[first] - first, count, grams[anchor[first]], hashed(first, first + count + width - 1)
-
-
-def _anchor_counts(store: DataFrame, rules: RepeatRules) -> tuple[list[int], int]:
-    """Buckets that hold a great share of the runs, and the number of runs.
-
-    Each batch names the buckets above half the share of its own runs, so that at
-    most 2 / share rows leave it; sums over these find every bucket above twice
-    the share of all.
-    """
-    share = rules.hot_share / 2
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            runs = np.concatenate([_runs(x) for x in batch.column("runs")] or [_runs(None)])
-            bucket, n = np.unique(runs["bucket"], return_counts=True)
-            often = (n > share * len(runs)) & (n > 1)
-            bucket, n = np.append(bucket[often].view(np.int64), 0), np.append(n[often], len(runs))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n.astype(np.int64)), pa.array([False] * (len(n) - 1) + [True])], ["bucket", "n", "total"])
-
-    sums = store.select("runs").mapInArrow(counted, "bucket bigint, n bigint, total boolean").groupBy("bucket", "total").agg(F.sum("n").alias("n"))
-    total = (sums.where("total").select("n").first() or [0])[0]
-    most = max(rules.hot_least, int(rules.hot_share * total))
-    return [r["bucket"] for r in sums.where(~F.col("total") & (F.col("n") >= most)).select("bucket").collect()], total
+    ends, whole_run = (first + count + width - 1).tolist(), memoryview(data)
+    content = np.array([_xxh3(whole_run[i:j]) for i, j in zip(first.tolist(), ends)], np.uint64)
+    return first, anchor[first] - first, count, grams[anchor[first]], content
 
 
 _RUN = np.dtype([("place", "<i8"), ("bucket", "<u8"), ("content", "<u8")])
@@ -177,10 +162,7 @@ def _distinct_texts(docs: DataFrame, text: Column, rules: RepeatRules) -> DataFr
     whole = docs.select(text.alias("t")).where(F.octet_length("t") >= width).select("t", *text_key(F.col("t")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = whole.mapInArrow(first_of_each, _ddl(_TEXT)).repartition(parts, "a", "b").sortWithinPartitions("a", "b")
-    name = f"grainmill_texts_{uuid.uuid4().hex}"
-    made = dealt.mapInArrow(merged, _ddl(_STORED))
-    made.write.bucketBy(parts, "a", "b").option("path", f"{shared_folder(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(dealt.mapInArrow(merged, _ddl(_STORED)), parts, ["a", "b"], "texts")
 
 
 def text_key(text: Column) -> tuple[Column, Column]:
@@ -214,13 +196,20 @@ def _flat_runs(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(each or [_runs(None)]), a, b, n
 
 
-def _contents(store: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(bucket, content, n, contents, a, b, place) of different runs: outside hot buckets and in them.
+#: What becomes of a run: settled by counting, sorted with its bucket, or dealt by the bytes around its minimizer.
+_COUNTED, _SORTED, _DEALT = range(3)
+_CONTENT = "bucket bigint, content bigint, n bigint, a bigint, b bigint, place bigint"
 
-    ``n`` over 1 means that a run occurs again as a whole; (a, b, place) is one
-    of its occurrences; ``contents`` counts the different runs of its bucket.
-    Only buckets with two runs at least are returned.  Batches count their own
-    equal runs before the shuffle, and a hot bucket is dealt by content.
+
+def _contents(store: DataFrame, most: int) -> DataFrame:
+    """(bucket, content, n, a, b, place, state) of different runs; runs alone in their bucket that occur once are left out.
+
+    ``n`` over 1 means that a run occurs again as a whole, and (a, b, place) is
+    one of its occurrences.  Batches count their own equal runs before the
+    shuffle, which deals ranges of (bucket, content) between sampled splitters,
+    so that a bucket with a great share of all runs goes to many tasks.  A task
+    sees its buckets whole but for the first and the last one: these, and those
+    of more than ``most`` runs, are dealt again.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,45 +217,122 @@ def _contents(store: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame]:
             runs, a, b, n = _flat_runs(batch)
             order = np.lexsort((runs["content"], runs["bucket"]))
             runs, a, b, n = runs[order], a[order], b[order], n[order]
-            heads = np.flatnonzero(np.concatenate([[True], (runs["bucket"][1:] != runs["bucket"][:-1]) | (runs["content"][1:] != runs["content"][:-1])])) if len(runs) else np.empty(0, np.int64)
+            heads = _heads(runs["bucket"], runs["content"])
             total = np.minimum(np.add.reduceat(n, heads), 2) if len(heads) else n
             yield _columns("bucket content n a b place", *(runs[c][heads] for c in ("bucket", "content")), total, a[heads], b[heads], runs["place"][heads])
 
-    rows = store.select("a", "b", "n", "runs").mapInArrow(counted, "bucket bigint, content bigint, n bigint, a bigint, b bigint, place bigint")
-    is_hot = F.col("bucket").isin(hot)
-    by_content = lambda df: df.groupBy("bucket", "content").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b", "place")).alias("at"))
-    cold = by_content((rows.where(~is_hot) if hot else rows).repartition("bucket"))
-    cold = cold.withColumn("contents", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).where("n > 1 OR contents > 1")
-    names = ("bucket", "content", "n", "contents", "at.*")
-    return cold.select(*names), by_content(rows.where(is_hot)).withColumn("contents", F.lit(2).cast("long")).select(*names)
-
-
-def _slices(contents: DataFrame, store: DataFrame, width: int) -> DataFrame:
-    """(bucket, content, n, ahead, bytes) of runs, cut out of the stored texts that hold them."""
-    wanted = contents.groupBy("a", "b").agg(F.collect_list(F.struct("bucket", "content", "n", "place")).alias("wanted"))
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first = None, True
+        for batch in batches:
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            heads = _heads(*rows[:2])  # equal runs of several batches are one
+            n = np.add.reduceat(rows[2], heads) if len(heads) else rows[2]
+            rows = rows[:, heads]
+            rows[2] = np.minimum(n, 2)
+            # The last bucket may go on; one that is too large already needs no more than that many rows to be known.
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if rows.shape[1] else 0
+            if last:
+                yield verdict(rows[:, :last], first, False)
+                first = False
+            held = rows[:, last:]
+            if held.shape[1] > most + 1:
+                yield verdict(held[:, :-1], True, True)  # dealt whatever follows
+                held, first = held[:, -1:], True
+        if held is not None and held.shape[1]:
+            yield verdict(held, first, True)
+
+    def verdict(rows: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        heads = _heads(rows[0])
+        size = np.diff(np.append(heads, rows.shape[1]))
+        state = np.where(size > most, _DEALT, np.where(size > 1, _SORTED, _COUNTED))
+        if first:
+            state[0] = _DEALT
+        if last:
+            state[-1] = _DEALT
+        state = np.repeat(state, size)
+        keep = (state > _COUNTED) | (rows[2] > 1)
+        return _columns("bucket content n a b place state", *rows[:, keep], state[keep])
+
+    rows = store.select("a", "b", "n", "runs").mapInArrow(counted, _CONTENT)
+    dealt = rows.repartitionByRange("bucket", "content").sortWithinPartitions("bucket", "content")
+    return dealt.mapInArrow(judged, _CONTENT + ", state bigint")
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in sorted keys."""
+    if not len(keys[0]):
+        return np.empty(0, np.int64)
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(fresh)
+
+
+def _slices(contents: DataFrame, store: DataFrame, rules: RepeatRules) -> DataFrame:
+    """Rows of _PIECE cut out of the stored texts: a run as one piece, or dealt by the bytes around its minimizer."""
+    wanted = contents.groupBy("a", "b").agg(F.collect_list(F.struct("bucket", "content", "n", "place", "state")).alias("wanted"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            rows = []
+            rows, dealt = [], {}
             for packed, list_ in zip(batch.column("packed"), batch.column("wanted")):
                 data = unpack(packed.as_py())
                 for w in list_.as_py():
                     first, ahead, count = _unplaced(w["place"])
-                    rows.append((w["bucket"], w["content"], w["n"], ahead, data[first : first + count + width - 1]))
-            yield _batch(rows, _SLICE)
+                    run = data[first : first + count + rules.width - 1]
+                    if w["state"] == _DEALT:
+                        for group, at, far, piece in _pieces(w["bucket"], ahead, count, run, rules):
+                            dealt.setdefault((group, _xxh3(piece, seed=far)), []).append((w, at, far, piece))
+                    else:
+                        # A run that occurs again is sorted for the others' sake only.
+                        rows.append((w["bucket"], w["content"], w["n"], ahead, run, *((w["bucket"], w["content"]) if w["n"] < 2 else (None, None)), 0))
+            for (group, piece), found in dealt.items():
+                w, at, far, text = found[0]
+                if len(found) == 1 and w["n"] < 2:
+                    rows.append((_signed(group), _signed(piece), 1, far, text, w["bucket"], w["content"], at))
+                    continue
+                rows.append((_signed(group), _signed(piece), 2, far, text, None, None, 0))
+                for w, at, far, text in found:  # settled here; sent on under keys of their own
+                    if w["n"] < 2:
+                        rows.append((w["content"], None, 2, far, None, w["bucket"], w["content"], at << _PLACE_BITS | len(text)))
+            yield _batch(rows, _PIECE)
+
+    return store.select("a", "b", "packed").join(wanted, ["a", "b"]).select("packed", "wanted").mapInArrow(cut, _ddl(_PIECE))
+
 
-    return store.select("a", "b", "packed").join(wanted, ["a", "b"]).select("packed", "wanted").mapInArrow(cut, _ddl(_SLICE))
+#: ``ahead``: the minimizer's distance from the first string of the piece; (run_bucket, run_content, at): where the
+#: piece begins in which run, null for a piece that is there to be compared with only.
+_PIECE = pa.schema([(c, pa.int64()) for c in ("bucket", "content", "n", "ahead")] + [("bytes", pa.binary())] + [(c, pa.int64()) for c in ("run_bucket", "run_content", "at")])
+_FOUND = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("spans", pa.binary()), ("group", pa.int64()), ("string", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
 
-_SLICE = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("n", pa.int64()), ("ahead", pa.int64()), ("bytes", pa.binary())])
-_FOUND = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("spans", pa.binary())])
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _flag_spans(flags: np.ndarray, width: int) -> bytes:
+def _pieces(bucket: int, ahead: int, count: int, run: bytes, rules: RepeatRules) -> Iterator[tuple[int, int, int, bytes]]:
+    """(group, first string, distance, bytes) of the parts of a run whose strings' distance from the minimizer has one bit length.
+
+    The strings of a part have the bytes from the least such distance before the
+    minimizer to the end of the farthest one in common with every equal string,
+    so these bytes name the group: equal strings meet, and the strings of a group
+    differ in the other bytes only, which are few where the distance is small.
+    """
+    far, near = ahead, ahead - count + 1
+    for bits in range(near.bit_length(), far.bit_length() + 1):
+        low, high = (1 << bits) >> 1, (1 << bits) - 1
+        most, least = min(high, far), max(low, near)
+        after = max(rules.width - rules.anchor - high, 0)
+        named = run[ahead - low : ahead + rules.anchor + after]
+        at = ahead - most
+        yield _xxh3(b"%d %d " % (bucket, bits) + named), at, most, run[at : at + most - least + rules.width]
+
+
+def _flag_spans(flags: np.ndarray, width: int, at: int = 0) -> bytes:
     """Flags of string starts as packed (first byte, byte after the last) pairs of covered bytes."""
     edge = np.diff(np.concatenate([[0], flags.view(np.int8), [0]]))
-    return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + width - 1], axis=1).astype("<i4").tobytes()
+    return (np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) + width - 1], axis=1) + at).astype("<i4").tobytes()
 
 
 #: Spreads buckets so that distances can be added; a clash of two groups only sorts them together.
@@ -282,52 +348,83 @@ def _strings(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.
     return counts, owner, np.repeat(np.cumsum(sizes) - sizes, counts) + within
 
 
-def _sorted_buckets(slices: DataFrame, width: int) -> DataFrame:
-    """The repeated spans of each run, from sorting all strings of its bucket together."""
+def _settled(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
+    """Rows of _FOUND: the repeated spans of each run, from sorting all strings of a bucket or group together.
+
+    A group of over ``group_bytes`` is not held: its strings are given back one
+    by one, as (group, string, n, at).
+    """
+    width = rules.width
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
         held: list[tuple] = []
-        size = 0
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > CHUNK_BYTES and row[0] != held[-1][0]:
-                    yield settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-        if held:
-            yield settle(held)
+        out: list[tuple] = []
+        size = here = 0  # bytes held, and those of the last group
+        last, large = None, False
+        for (group, piece), copies in groupby(rows, key=itemgetter(0, 1)):
+            row = next(copies)
+            if piece is None:  # settled already
+                out += (span(r, r[7] >> _PLACE_BITS, r[7] & _PLACE_MASK) for r in (row, *copies))
+            else:
+                for other in copies:  # equal pieces repeat each other as a whole, and one of them stands for all
+                    out += (span(r, r[7], len(r[4])) for r in (row, other) if r[5] is not None)
+                    row = (group, piece, 2, row[3], row[4], None, None, 0)
+                    if len(out) > _OUT_ROWS:
+                        yield _batch(out, _FOUND)
+                        out = []
+                if group != last:
+                    if size > CHUNK_BYTES:
+                        yield settle(held)
+                        held, size = [], 0
+                    last, here, large = group, 0, False
+                here += len(row[4])
+                if not large and here > rules.group_bytes:
+                    large = True
+                    mine = sum(r[0] == group for r in held)
+                    for r in held[len(held) - mine :]:
+                        yield apart(r)
+                    size -= sum(len(r[4]) for r in held[len(held) - mine :])
+                    held = held[: len(held) - mine]
+                if large:
+                    yield apart(row)
+                else:
+                    held.append(row)
+                    size += len(row[4])
+            if len(out) > _OUT_ROWS:
+                yield _batch(out, _FOUND)
+                out = []
+        yield settle(held)
+        yield _batch(out, _FOUND)
+
+    def span(row: tuple, at: int, size: int) -> tuple:
+        return row[5], row[6], struct.pack("<2i", at, at + size), None, None, None, None
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
+        if len(rows) < 2:
+            return _batch([], _FOUND)
         counts, owner, starts = _strings(rows, width)
-        within = starts - starts[np.cumsum(counts) - counts][owner]
+        ends = np.cumsum(counts)
+        within = starts - starts[ends - counts][owner]
         # Equal strings hold their minimizer at the same distance, so only such strings are sorted together.
         bucket, ahead = (np.array([r[i] for r in rows], np.int64)[owner] for i in (0, 3))
         groups = (bucket.view(np.uint64) * _GROUP_MULTIPLIER) + (ahead - within).astype(np.uint64)
         flags = equal_suffixes(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), starts, groups, width)
-        ends = np.cumsum(counts)
-        out = [(r[0], r[1], _flag_spans(flags[e - c : e], width)) for r, c, e in zip(rows, counts, ends) if r[2] < 2 and flags[e - c : e].any()]
+        out = [(r[5], r[6], _flag_spans(flags[e - c : e], width, r[7]), None, None, None, None) for r, c, e in zip(rows, counts, ends) if r[5] is not None and flags[e - c : e].any()]
         return _batch(out, _FOUND)
 
-    return slices.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(found, _ddl(_FOUND))
+    def apart(row: tuple) -> pa.RecordBatch:
+        group, _, n, ahead, text, *run, at = row
+        view = memoryview(text)
+        return _batch([(*run, None, group, _signed(_xxh3(view[i : i + width], seed=ahead - i)), n, at + i) for i in range(len(text) - width + 1)], _FOUND)
 
+    return pieces.repartition("bucket").sortWithinPartitions("bucket", "content").mapInArrow(found, _ddl(_FOUND))
 
-def _counted_strings(slices: DataFrame, width: int) -> DataFrame:
-    """The repeated spans of each run of hot buckets, from counting each string by its hash: no task gathers a bucket."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for i in range(0, batch.num_rows, 2000):
-                rows = list(zip(*(c[i : i + 2000] for c in columns)))
-                counts, owner, starts = _strings(rows, width)
-                within = starts - starts[np.cumsum(counts) - counts][owner]
-                strings = SpanHasher(np.frombuffer(b"".join(r[4] for r in rows), np.uint8))(starts, starts + width)
-                yield _columns("bucket content n string place", *(np.array([r[k] for r in rows], np.int64)[owner] for k in (0, 1, 2)), strings, within)
-
-    strings = written(slices.mapInArrow(hashed, "bucket bigint, content bigint, n bigint, string bigint, place bigint"), "strings")
-    again = strings.groupBy("bucket", "string").agg(F.sum(F.least("n", F.lit(2))).alias("times")).where("times > 1").select("bucket", "string")
-    places = strings.where("n = 1").join(again, ["bucket", "string"]).groupBy("bucket", "content").agg(F.collect_list("place").alias("places"))
+def _equal_strings(apart: DataFrame, width: int) -> DataFrame:
+    """The repeated spans of runs from strings that were given back one by one: equal ones are all that is left of a group."""
+    again = apart.groupBy("group", "string").agg(F.sum("n").alias("times")).where("times > 1").select("group", "string")
+    places = apart.where("bucket IS NOT NULL").join(again, ["group", "string"]).groupBy("bucket", "content").agg(F.collect_list("at").alias("places"))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,9 +433,12 @@ def _counted_strings(slices: DataFrame, width: int) -> DataFrame:
                 flags = np.zeros(max(places) + 1, bool)
                 flags[places] = True
                 rows.append((bucket, content, _flag_spans(flags, width)))
-            yield _batch(rows, _FOUND)
+            yield _batch(rows, _SPANS)
+
+    return places.mapInArrow(spans, _ddl(_SPANS))
+
 
-    return places.mapInArrow(spans, _ddl(_FOUND))
+_SPANS = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("spans", pa.binary())])
 
 
 def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = RepeatRules()) -> DataFrame:
@@ -351,21 +451,18 @@ def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = Rep
     Whole copies are found first and kept once.  The strings of the remaining
     texts are cut into runs with one minimizer; runs that recur as a whole are
     settled by counting hashes; runs that share a minimizer but differ are
-    fetched and all their strings sorted, bucket by bucket, except in hot
-    buckets, where the strings are counted by hash.
+    fetched and all their strings sorted, bucket by bucket, large buckets in
+    groups that no equal strings cross.
     """
     width = rules.width
     store = _distinct_texts(docs, F.col(f"`{text}`"), rules)
-    hot, _ = _anchor_counts(store, rules)
-    cold_runs, hot_runs = _contents(store, hot)
-    contents = written(cold_runs, "contents")
-    wholly = contents.where("n > 1")
-    partly = _sorted_buckets(_slices(contents.where("contents > 1"), store, width), width)
-    if hot:
-        hot_runs = written(hot_runs, "contents")
-        wholly = wholly.union(hot_runs.where("n > 1"))
-        partly = partly.union(_counted_strings(_slices(hot_runs, store, width), width))
-    wholly = wholly.select("bucket", "content", F.lit(None).cast("binary").alias("spans"))
+    contents = written(_contents(store, rules.bucket_runs), "contents")
+    found = written(_settled(_slices(contents.where(F.col("state") > _COUNTED), store, rules), rules), "repeats")
+    partly = found.where("string IS NULL").select("bucket", "content", "spans")
+    apart = found.where("string IS NOT NULL")
+    if not apart.isEmpty():
+        partly = partly.union(_equal_strings(apart, width))
+    wholly = contents.where("n > 1").select("bucket", "content", F.lit(None).cast("binary").alias("spans"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 
-from grainmill.plans.lineage import shared_folder, written  # noqa: F401  for the operators
+from grainmill.plans.lineage import bucketed, written  # noqa: F401  for the operators
 
 SPACE = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)

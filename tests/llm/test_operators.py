@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -220,7 +222,7 @@ def bpe_bytes(i):
 # Repeated bytes
 
 
-@pytest.mark.parametrize("rules", [repeated_bytes.RepeatRules(width=40, anchor=12), repeated_bytes.RepeatRules(width=40, anchor=12, hot_least=2, hot_share=1e-6), repeated_bytes.RepeatRules(), repeated_bytes.RepeatRules(width=9, anchor=9)])
+@pytest.mark.parametrize("rules", [repeated_bytes.RepeatRules(width=40, anchor=12), repeated_bytes.RepeatRules(width=40, anchor=12, bucket_runs=1), repeated_bytes.RepeatRules(width=40, anchor=12, bucket_runs=1, group_bytes=60), repeated_bytes.RepeatRules(), repeated_bytes.RepeatRules(width=9, anchor=9)])
 def test_repeated_bytes_match_brute_force(spark, rules):
     given = C.rows()
     want = sorted(((r[0], *x) for r, x in zip(given, C.repeated_bytes([r[1] for r in given], rules.width))), key=repr)
@@ -230,6 +232,38 @@ def test_repeated_bytes_match_brute_force(spark, rules):
     assert {"size", "bucket", "a", "b", "n"} <= {*marked.columns}
 
 
+@pytest.mark.parametrize("rules", [repeated_bytes.RepeatRules(), repeated_bytes.RepeatRules(bucket_runs=3), repeated_bytes.RepeatRules(bucket_runs=3, group_bytes=500)])
+def test_one_passage_between_many_texts_and_swapped_letters(spark, rules):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    passage, texts = prose(90), []
+    for i in range(60):  # one bucket holds a run of each text at both ends of the passage
+        texts.append(f"{prose(rng.randint(0, 40))} {passage[rng.randint(0, 3) :]} {prose(rng.randint(0, 40))}")
+    texts += [C.thue_morse(1024), C.thue_morse(1024, "ba"), "a" * 700, "ab" * 300, texts[0], texts[1] + "!", passage, None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4, "doc_id")
+    got = sorted(tuple(r) for r in repeated_bytes.mark_repeats(docs, rules=rules).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())
+    assert got == [(i, *x) for i, x in enumerate(C.repeated_bytes(texts, rules.width))]
+
+
+@given(st.lists(st.text("ab", max_size=60), max_size=6), st.integers(5, 14))
+def test_equal_strings_of_dealt_runs_meet(texts, width):
+    """Every two equal strings get the same group and distance, and each string of a run is in one piece."""
+    rules = repeated_bytes.RepeatRules(width=width, anchor=3)
+    groups = {}
+    for t in texts:
+        data = t.encode()
+        for first, ahead, count, bucket, _ in zip(*(x.tolist() for x in repeated_bytes.anchored_runs(np.frombuffer(data, np.uint8), np.array([0, len(data)]), rules))):
+            run, seen = data[first : first + count + width - 1], []
+            for group, at, far, piece in repeated_bytes._pieces(bucket, ahead, count, run, rules):
+                for i in range(len(piece) - width + 1):
+                    assert piece[i : i + width] == run[at + i : at + i + width]
+                    seen.append(at + i)
+                    groups.setdefault(piece[i : i + width], set()).add((group, far - i))
+            assert sorted(seen) == [*range(count)]
+    assert all(len(g) == 1 for g in groups.values())
+
+
 def test_cut_removes_the_spans(spark):
     docs = spark.createDataFrame([(1, "abcdef"), (2, None)], "doc_id long, text string")
     spans = F.when(F.col("doc_id") == 1, F.lit(bytearray(struct.pack("<4i", 0, 2, 4, 5))))
