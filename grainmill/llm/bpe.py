@@ -42,9 +42,12 @@ def newer_letters() -> dict[int, str]:
 
     from tokenizers import pre_tokenizers
 
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    doubtful = [c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    # After a mark a letter begins a piece of its own and any other character does not.
     split = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True).pre_tokenize_str
-    doubtful = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and regex.match(r"[\p{L}\p{N}]", chr(c))]
-    return {c: _OTHER for c in doubtful if len(split("!" + chr(c))) == 1}
+    begins = {start for _, (start, _) in split("".join(f"!{c} " for c in doubtful))}
+    return {ord(c): _OTHER for i, c in enumerate(doubtful) if 3 * i + 1 not in begins}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -70,12 +73,32 @@ class _Memory(dict):
         return found
 
 
+def _checked(spec: dict) -> dict:
+    """The vocabulary file, an error if it asks for what the encoder does not do."""
+    parts = [spec["pre_tokenizer"], *(spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+    split = next((p for p in parts if p and p["type"] == "ByteLevel"), {})
+    model = spec["model"]
+    asked = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "a normalizer": spec.get("normalizer") is not None,
+        "a pre-tokenizer other than the byte-level one": not split or len([p for p in parts if p]) != 1 or not split.get("use_regex", True),
+        "add_prefix_space": bool(split.get("add_prefix_space")),
+        "dropout": bool(model.get("dropout")),
+        "ignore_merges": bool(model.get("ignore_merges")),
+        "a prefix or suffix of pieces": bool(model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")),
+        "flags of added tokens": any(t.get(f) for t in spec["added_tokens"] for f in ("single_word", "lstrip", "rstrip")),
+    }
+    if found := [name for name, is_so in asked.items() if is_so]:
+        raise ValueError(f"the vocabulary file has {', '.join(found)}")
+    return spec
+
+
 class Encoder:
     """Ids of whole texts, as the vocabulary file's own library gives them."""
 
     def __init__(self, vocabulary: str, newer: dict[int, str] | None = None):
         """``vocabulary``: the JSON text of a byte-level BPE tokenizer without normaliser; ``newer``: see newer_letters()."""
-        spec = json.loads(vocabulary)
+        spec = _checked(json.loads(vocabulary))
         to_byte, model = byte_symbols(), spec["model"]
         size = 1 + max([*model["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
         self.bytes_of: list[bytes] = [b""] * size

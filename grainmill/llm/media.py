@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -55,163 +58,278 @@ def unpack_wav(media: bytes) -> bytes:
     raise ValueError("no data chunk")
 
 
-# Each validator takes (data, start) and gives the length of a well-formed file that starts there, or 0.
+_STRIDE = 64
 
 
-def _riff(form: bytes) -> Callable[[bytes, int], int]:
-    def valid(data: bytes, start: int) -> int:
-        if data[start + 8 : start + 12] != form or start + 12 > len(data):
+class Blob:
+    """Bytes under test, with what the validators have learnt about them so far.
+
+    Candidates of one format that lead into the same blocks share the rest of
+    the walk, and trailers are searched for once, so that sniffing takes time in
+    proportion to the data even where magic bytes are dense.
+    """
+
+    def __init__(self, data: bytes):
+        self.data, self.n = data, len(data)
+        self._places: dict[bytes, list[int]] = {}
+        self._ends: dict[str, dict[int, int]] = {}
+        self._failed: dict[str, bytearray] = {}
+        self._strides: dict[int, int] = {}
+
+    def places(self, word: bytes) -> list[int]:
+        """Where a word begins, ascending."""
+        if word not in self._places:
+            self._places[word] = [m.start() for m in re.finditer(re.escape(word), self.data)]
+        return self._places[word]
+
+    def next(self, word: bytes, at: int) -> int:
+        """The first place of a word from ``at`` on, -1 for none."""
+        all_, i = self.places(word), bisect_left(self.places(word), at)
+        return all_[i] if i < len(all_) else -1
+
+    def last(self, word: bytes, before: int) -> int:
+        """The last place of a word before ``before``, -1 for none."""
+        i = bisect_left(self.places(word), before)
+        return self.places(word)[i - 1] if i else -1
+
+    def chunks(self, at: int, end: int) -> int:
+        """Where the RIFF chunks from ``at`` on leave ``end`` behind or meet it.
+
+        Files with other ends share their chunks, so strides of chunks are remembered.
+        """
+        while at + 8 <= end:
+            ahead = self._strides.get(at, end + 1)
+            if ahead <= end:
+                at = ahead
+                continue
+            first = at
+            for _ in range(_STRIDE):
+                if at + 8 > end:
+                    return at
+                at += 8 + (size := struct.unpack_from("<I", self.data, at + 4)[0]) + (size & 1)
+            self._strides[first] = at
+        return at
+
+    def walk(self, name: str, at: int, step: Callable[[bytes, int], int]) -> int:
+        """Where a chain of blocks ends, 0 if it is broken.
+
+        ``step`` gives the place of the next block, 0 for a broken one, or the
+        negative of the end of the file.
+        """
+        if name not in self._failed:
+            self._ends[name], self._failed[name] = {}, bytearray(self.n)
+        ends, failed = self._ends[name], self._failed[name]
+        path, end = array("q"), 0
+        while 0 <= at < self.n:
+            if known := ends.get(at, 0):
+                end = known
+                break
+            if failed[at]:
+                break
+            failed[at] = 1  # until the end is found
+            path.append(at)
+            at = step(self.data, at)
+            if at <= 0:
+                end = -at
+                break
+        if end:
+            ends.update(dict.fromkeys(path, end))
+        return end
+
+
+# Each validator takes (blob, start) and gives the length of a well-formed file that starts there, or 0.
+
+
+def _riff(form: bytes) -> Callable[[Blob, int], int]:
+    def valid(blob: Blob, start: int) -> int:
+        data = blob.data
+        if data[start + 8 : start + 12] != form or start + 12 > blob.n:
             return 0
         end = start + 8 + struct.unpack_from("<I", data, start + 4)[0]
-        at = start + 12
-        if end > len(data):
-            return 0
-        while at + 8 <= end:
-            at += 8 + (size := struct.unpack_from("<I", data, at + 4)[0]) + (size & 1)
-        return end - start if at == end and end > start + 12 else 0
+        return end - start if start + 12 < end <= blob.n and blob.chunks(start + 12, end) == end else 0
 
     return valid
 
 
-def _png(data: bytes, start: int) -> int:
-    at = start + 8
-    first = True
-    while at + 12 <= len(data):
+def _png(blob: Blob, start: int) -> int:
+    def step(data: bytes, at: int) -> int:
+        if at + 12 > len(data):
+            return 0
         size, name = struct.unpack_from(">I4s", data, at)
         end = at + 12 + size
-        if end > len(data) or (first and name != b"IHDR") or zlib.crc32(data[at + 4 : end - 4]) != struct.unpack_from(">I", data, end - 4)[0]:
+        if end > len(data) or not name.isalpha():
+            return 0
+        return -end if name == b"IEND" else end
+
+    def checked(data: bytes, at: int) -> int:
+        after = abs(step(data, at))
+        if not after or zlib.crc32(memoryview(data)[at + 4 : after - 4]) != struct.unpack_from(">I", data, after - 4)[0]:
             return 0
-        if name == b"IEND":
-            return end - start
-        at, first = end, False
-    return 0
+        return step(data, at)
+
+    # Lengths first: checksums are read only of files that are whole.
+    at = start + 8
+    if blob.data[at : at + 8] != b"\0\0\0\x0dIHDR" or not blob.walk("png lengths", at, step):
+        return 0
+    return max(blob.walk("png", at, checked) - start, 0)
 
 
-def _gif(data: bytes, start: int) -> int:
-    if data[start + 4 : start + 6] not in (b"7a", b"9a") or start + 13 > len(data):
+def _gif(blob: Blob, start: int) -> int:
+    data = blob.data
+    if data[start + 4 : start + 6] not in (b"7a", b"9a") or start + 13 > blob.n:
         return 0
-    flags = data[start + 10]
-    at = start + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0)
 
-    def blocks(at: int) -> int:
-        while at < len(data) and data[at]:
-            at += 1 + data[at]
-        return at + 1
+    def sub_blocks(at: int) -> int:
+        return blob.walk("gif blocks", at, lambda data, at: at + 1 + data[at] if data[at] else -(at + 1))
 
-    while at < len(data):
+    def step(data: bytes, at: int) -> int:
         kind = data[at]
         if kind == 0x3B:
-            return at + 1 - start
+            return -(at + 1)
         if kind == 0x21:
-            at = blocks(at + 2)
-        elif kind == 0x2C and at + 10 <= len(data):
+            return sub_blocks(at + 2)
+        if kind == 0x2C and at + 10 <= len(data):
             local = data[at + 9]
-            at = blocks(at + 10 + (3 << ((local & 7) + 1) if local & 0x80 else 0) + 1)
-        else:
-            return 0
-    return 0
+            return sub_blocks(at + 10 + (3 << ((local & 7) + 1) if local & 0x80 else 0) + 1)
+        return 0
+
+    flags = data[start + 10]
+    return max(blob.walk("gif", start + 13 + (3 << ((flags & 7) + 1) if flags & 0x80 else 0), step) - start, 0)
 
 
-def _jpeg(data: bytes, start: int) -> int:
-    at = start + 2
-    while at + 4 <= len(data) and data[at] == 0xFF:
+def _jpeg(blob: Blob, start: int) -> int:
+    def entropy(data: bytes, at: int) -> int:
+        """One step in coded data: to the next marker, which ends the file or is a segment."""
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            return 0
+        kind = data[at + 1]
+        return -(at + 2) if kind == 0xD9 else at + 2 if not kind or 0xD0 <= kind <= 0xD7 else -at
+
+    def step(data: bytes, at: int) -> int:
+        if at + 4 > len(data) or data[at] != 0xFF:
+            return 0
         kind, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
         if size < 2:
             return 0
-        at += 2 + size
-        if kind == 0xDA:
-            while (at := data.find(b"\xff", at)) >= 0 and at + 1 < len(data):
-                if data[at + 1] == 0xD9:
-                    return at + 2 - start
-                if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7:
-                    break
-                at += 2
-            if at < 0:
-                return 0
-    return 0
+        if kind != 0xDA:
+            return at + 2 + size
+        end = blob.walk("jpeg data", at + 2 + size, entropy)
+        return -end if end >= at + 4 + size and data[end - 2 : end] == b"\xff\xd9" else end
 
+    return max(blob.walk("jpeg", start + 2, step) - start, 0)
 
-def _bmp(data: bytes, start: int) -> int:
-    if start + 26 > len(data):
+
+def _bmp(blob: Blob, start: int) -> int:
+    if start + 26 > blob.n:
         return 0
-    size, zero, pixels, head = struct.unpack_from("<IIII", data, start + 2)
-    return size if zero == 0 and 26 <= pixels <= size and start + size <= len(data) and head in (12, 40, 108, 124) else 0
+    size, zero, pixels, head = struct.unpack_from("<IIII", blob.data, start + 2)
+    return size if zero == 0 and 26 <= pixels <= size and start + size <= blob.n and head in (12, 40, 108, 124) else 0
 
 
-def _flac(data: bytes, start: int) -> int:
+def _flac(blob: Blob, start: int) -> int:
     """Metadata blocks must be whole; frames run to the end of the data."""
-    at = start + 4
-    first = True
-    while at + 4 <= len(data):
-        kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "big")
-        if first and (kind & 0x7F or size != 34):
+
+    def step(data: bytes, at: int) -> int:
+        if at + 4 > len(data):
             return 0
-        at, first = at + 4 + size, False
-        if kind & 0x80:
-            return len(data) - start if at <= len(data) else 0
-    return 0
+        after = at + 4 + int.from_bytes(data[at + 1 : at + 4], "big")
+        return (-len(data) if after <= len(data) else 0) if data[at] & 0x80 else after
 
+    head = blob.data[start + 4 : start + 8]
+    return max(blob.walk("flac", start + 4, step) - start, 0) if head[1:] == b"\0\0\x22" and not head[0] & 0x7F else 0
 
-def _ogg(data: bytes, start: int) -> int:
-    at = start
-    while at + 27 <= len(data) and data[at : at + 5] == b"OggS\0":
+
+def _ogg(blob: Blob, start: int) -> int:
+    def step(data: bytes, at: int) -> int:
+        if at + 27 > len(data) or data[at : at + 5] != b"OggS\0":
+            return 0
         n = data[at + 26]
         if at + 27 + n > len(data):
             return 0
-        last, end = data[at + 5] & 4, at + 27 + n + sum(data[at + 27 : at + 27 + n])
-        if end > len(data):
-            return 0
-        if last:
-            return end - start
-        at = end
-    return 0
+        end = at + 27 + n + sum(data[at + 27 : at + 27 + n])
+        return 0 if end > len(data) else -end if data[at + 5] & 4 else end
 
+    return max(blob.walk("ogg", start, step) - start, 0)
 
-def _pdf(data: bytes, start: int) -> int:
+
+def _pdf(blob: Blob, start: int) -> int:
+    data = blob.data
     if data[start + 5 : start + 6] not in (b"1", b"2") or data[start + 6 : start + 7] != b".":
         return 0
-    end = data.find(b"%%EOF", start)
-    mark = data.rfind(b"startxref", start, end) if end >= 0 else -1
-    return end + 5 - start if mark >= 0 and data[mark + 9 : end].strip().isdigit() else 0
+    end = blob.next(b"%%EOF", start)
+    mark = blob.last(b"startxref", end)
+    if mark < start or blob.next(b"%%EOF", mark) != end:
+        return 0
 
+    def number(data: bytes, at: int) -> int:
+        return -(end + 5) if data[at + 9 : end].strip().isdigit() else 0
 
-def _zip(data: bytes, start: int) -> int:
-    end = data.find(b"PK\x05\x06", start)
-    if end < 0 or end + 22 > len(data):
+    return max(blob.walk("pdf", mark, number) - start, 0)
+
+
+def _zip(blob: Blob, start: int) -> int:
+    data, end = blob.data, blob.next(b"PK\x05\x06", start)
+    if end < 0 or end + 22 > blob.n:
         return 0
     size, offset, comment = struct.unpack_from("<IIH", data, end + 12)
     central = end - size
     ok = central - offset == start and data[central : central + 4] in (b"PK\x01\x02", b"PK\x05\x06")
-    return end + 22 + comment - start if ok and end + 22 + comment <= len(data) else 0
+    return end + 22 + comment - start if ok and end + 22 + comment <= blob.n else 0
+
+
+def _gzip(blob: Blob, start: int) -> int:
+    data = blob.data
+    flags, at = data[start + 3] if start + 10 <= blob.n else 0xFF, start + 10
+    if flags & 0xE0:
+        return 0
+    if flags & 4:
+        at += 2 + int.from_bytes(data[at : at + 2], "little")
+    for text in (8, 16):  # name and comment end with a zero byte
+        if flags & text:
+            at = blob.next(b"\0", at) + 1
+            if not at:
+                return 0
+    body = at + 2 if flags & 2 else at
+    return max(blob.walk("gzip", body, _inflated) - start, 0)
 
 
-def _gzip(data: bytes, start: int) -> int:
-    unpack = zlib.decompressobj(31)
-    at = start
+def _inflated(data: bytes, at: int) -> int:
+    """The negative end of a deflated body with its checksum and size, 0 if it is not whole."""
+    unpack, crc, size, view, i = zlib.decompressobj(-15), 0, 0, memoryview(data), at
     try:
-        while at < len(data) and not unpack.eof:
-            rest = data[at : at + 65536]
-            unpack.decompress(rest, 1 << 20)
-            while unpack.unconsumed_tail:
-                unpack.decompress(unpack.unconsumed_tail, 1 << 20)
-            at += len(rest)
+        while i < len(data) and not unpack.eof:
+            part = unpack.decompress(view[i : i + 65536], 1 << 20)
+            i += 65536
+            while True:
+                crc, size = zlib.crc32(part, crc), size + len(part)
+                if not unpack.unconsumed_tail:
+                    break
+                part = unpack.decompress(unpack.unconsumed_tail, 1 << 20)
     except zlib.error:
         return 0
-    return at - len(unpack.unused_data) - start if unpack.eof else 0
+    if not unpack.eof:
+        return 0
+    end = min(i, len(data)) - len(unpack.unused_data) + 8
+    return -end if end <= len(data) and struct.unpack_from("<II", data, end - 8) == (crc, size & 0xFFFFFFFF) else 0
+
+
+def _mp4(blob: Blob, start: int) -> int:
+    def step(data: bytes, at: int) -> int:
+        """To the next box; the boxes end at the first place that is none."""
+        size, kind = struct.unpack_from(">I4s", data, at) if at + 8 <= len(data) else (0, b"")
+        after = at + size
+        whole = size >= 8 and after <= len(data) and kind.isalnum()
+        return (after if after < len(data) else -after) if whole else -at
 
+    def bodies(data: bytes, at: int) -> int:
+        after = step(data, at)
+        return -1 if after > 0 and data[at + 4 : at + 8] in (b"moov", b"mdat") else after if after > 0 else -1 if -after > at and data[at + 4 : at + 8] in (b"moov", b"mdat") else 0
 
-def _mp4(data: bytes, start: int) -> int:
-    at, kinds = start, set()
-    while at + 8 <= len(data):
-        size, kind = struct.unpack_from(">I4s", data, at)
-        if size < 8 or at + size > len(data) or not kind.isalnum():
-            break
-        kinds.add(kind)
-        at += size
-    return at - start if b"moov" in kinds or b"mdat" in kinds else 0
+    return max(blob.walk("mp4", start, step) - start, 0) if blob.walk("mp4 bodies", start, bodies) else 0
 
 
-VALIDATORS: dict[str, Callable[[bytes, int], int]] = {
+VALIDATORS: dict[str, Callable[[Blob, int], int]] = {
     "audio/wav": _riff(b"WAVE"),
     "image/webp": _riff(b"WEBP"),
     "image/png": _png,
@@ -255,11 +373,11 @@ def sniff(data: bytes) -> list[Found]:
     candidates, and a candidate counts only if its format's structure and
     lengths hold.
     """
-    found = {}
+    found, blob = {}, Blob(data)
     for end, (size, kinds) in _SIGNATURES.iter(data.decode("latin-1")):
         for kind, offset in kinds:
             start = end + 1 - size - offset
-            if start >= 0 and (length := VALIDATORS[kind](data, start)):
+            if start >= 0 and (length := VALIDATORS[kind](blob, start)):
                 found[start, kind] = Found(kind, start, length)
     return [found[k] for k in sorted(found)]
 
@@ -290,6 +408,7 @@ def with_stored_media(docs: DataFrame, text: str = "text", media: str = "media")
 
     The payload is the text in UTF-8 (null: empty) with zero bytes up to a
     positive multiple of 64, one byte to an 8-bit sample, so nothing is lost.
+    Spark's strings end at 2 GiB, below the 4 GiB that the format can say.
     A column named as ``media`` is replaced.
     """
 
