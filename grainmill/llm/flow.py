@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Hashable, Mapping, Sequence
 
 
@@ -26,65 +25,79 @@ def route(patterns: Sequence[tuple[tuple, int]], quotas: Mapping[Hashable, int],
     ``patterns``: (sources, words) of the documents that lie in just these
     sources.  The r-th pass over a pattern's words costs 2r - 1 a word, so that
     capacity is used evenly before anything repeats; at most ``repeats`` passes.
-    Successive shortest paths: each round augments along the cheapest residual
-    path from the supply to an open quota, so the result meets as much of the
-    quotas as any flow can, at least cost.
+    All words of a pass cost the same and giving a word to another source costs
+    nothing, so the cheapest flow is a largest flow for each pass in turn, in
+    what the passes before have left: shortest augmenting paths, all of one
+    length at a time.  It meets as much of the quotas as any flow can, at least
+    cost.
     """
-    n = len(patterns)
     flow = [dict.fromkeys(sources, 0) for sources, _ in patterns]
-    used = [0] * n
     need = dict(quotas)
-    members: dict[Hashable, list[int]] = {s: [] for s in quotas}
-    for p, (sources, words) in enumerate(patterns):
-        for s in sources:
-            members[s].append(p)
+    holders: dict[Hashable, dict[int, None]] = {s: {} for s in quotas}  # patterns that give a source words
+    for _ in range(repeats):
+        room = [words if sources else 0 for sources, words in patterns]
+        while _augment(patterns, flow, holders, room, need):
+            pass
+    return flow
 
-    def next_pass(p: int) -> tuple[int, int]:
-        """Cost and room of the pass that the pattern's next word falls in."""
-        words = patterns[p][1]
-        done = used[p] // words if words else repeats
-        return 2 * done + 1, 0 if done >= repeats else (done + 1) * words - used[p]
 
-    while True:
-        # Dijkstra from the supply; a path goes pattern -> source (-> pattern, taking flow back -> source ...).
-        best: dict[tuple, tuple[int, tuple | None]] = {}
-        queue: list[tuple[int, int, tuple, tuple | None]] = []
-        tick = 0
-        for p in range(n):
-            cost, room = next_pass(p)
-            if room:
-                heapq.heappush(queue, (cost, tick := tick + 1, ("p", p), None))
-        end = None
-        while queue:
-            cost, _, node, came = heapq.heappop(queue)
-            if node in best:
-                continue
-            best[node] = (cost, came)
-            kind, x = node
-            if kind == "s":
-                if need[x] > 0:
-                    end = node
-                    break
-                for p in members[x]:
-                    if flow[p][x] > 0 and ("p", p) not in best:
-                        heapq.heappush(queue, (cost, tick := tick + 1, ("p", p), node))
-            else:
-                for s in patterns[x][0]:
-                    if ("s", s) not in best:
-                        heapq.heappush(queue, (cost, tick := tick + 1, ("s", s), node))
-        if end is None:
-            return flow
-        path = [end]
-        while best[path[-1]][1] is not None:
-            path.append(best[path[-1]][1])
-        path.reverse()  # pattern, source, pattern, source, ...
-        amount = min(need[end[1]], next_pass(path[0][1])[1])
-        for a, b in zip(path[1::2], path[2::2]):
-            amount = min(amount, flow[b[1]][a[1]])
-        for a, b in zip(path, path[1:]):
-            if a[0] == "p":
-                flow[a[1]][b[1]] += amount
+def _augment(patterns, flow, holders, room: list[int], need: dict) -> bool:
+    """A blocking flow along the shortest residual paths pattern - source - (pattern - source)*; False if there is none."""
+    depth_p: dict[int, int] = {p: 0 for p, left in enumerate(room) if left}
+    depth_s: dict[Hashable, int] = {}
+    front, depth, reached = [*depth_p], 0, False
+    while front and not reached:
+        new = []
+        for p in front:
+            for s in patterns[p][0]:
+                if s not in depth_s:
+                    depth_s[s] = depth
+                    new.append(s)
+                    reached |= need[s] > 0
+        depth += 1
+        front = []
+        for s in () if reached else new:
+            for p in holders[s]:
+                if p not in depth_p:
+                    depth_p[p] = depth
+                    front.append(p)
+    if not reached:
+        return False
+    ways: dict[tuple, list] = {}  # the next nodes of each node, the one to try last; a dead end is taken off
+
+    def onward(kind: str, x) -> list:
+        if (kind, x) not in ways:
+            if kind == "p":
+                ways[kind, x] = [s for s in reversed(patterns[x][0]) if depth_s.get(s) == depth_p[x]]
             else:
-                flow[b[1]][a[1]] -= amount
-        used[path[0][1]] += amount
-        need[end[1]] -= amount
+                ways[kind, x] = [p for p in reversed(holders[x]) if depth_p.get(p) == depth_s[x] + 1]
+        left = ways[kind, x]
+        while left and kind == "s" and not flow[left[-1]][x]:
+            left.pop()
+        return left
+
+    for start in range(len(room)):
+        while room[start]:
+            path = [("p", start)]
+            while path and not (path[-1][0] == "s" and need[path[-1][1]] > 0):
+                kind, x = path[-1]
+                if left := onward(kind, x):
+                    path.append(("s" if kind == "p" else "p", left[-1]))
+                else:
+                    path.pop()
+                    if path:
+                        ways[path[-1]].pop()
+            if not path:
+                break
+            end = path[-1][1]
+            amount = min(room[start], need[end], *(flow[b][a] for (_, a), (_, b) in zip(path[1::2], path[2::2])))
+            for (kind, a), (_, b) in zip(path, path[1:]):
+                p, s, change = (a, b, amount) if kind == "p" else (b, a, -amount)
+                flow[p][s] += change
+                if flow[p][s]:
+                    holders[s][p] = None
+                else:
+                    holders[s].pop(p, None)
+            room[start] -= amount
+            need[end] -= amount
+    return True

@@ -103,18 +103,19 @@ def link(group: np.ndarray, fingerprints: np.ndarray, budget: int) -> tuple[np.n
     return f[child], f[forest.parent[child]]
 
 
-def block_masks(budget: int, equal: int, bits: int = 64) -> Iterator[int]:
-    """Masks of ``equal`` of ``budget + equal`` blocks: two values within the budget agree on one of them at least."""
+def block_masks(budget: int, equal: int, within: int = (1 << 64) - 1) -> Iterator[int]:
+    """Masks of ``equal`` of ``budget + equal`` blocks of the bits ``within``: two values within the budget agree on one of them at least."""
+    places = [1 << b for b in range(64) if within >> b & 1]
     n = budget + equal
-    edges = [bits * i // n for i in range(n + 1)]
-    masks = [((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in range(n)]
+    edges = [len(places) * i // n for i in range(n + 1)]
+    masks = [sum(places[i:j]) for i, j in zip(edges, edges[1:])]
     for chosen in combinations(masks, equal):
         yield sum(chosen)
 
 
-def equal_blocks(n: int, budget: int, load: int) -> int:
-    """The fewest equal blocks for which n spread-out values give buckets of about ``load`` at most."""
+def equal_blocks(n: int, budget: int, load: int, bits: int = 64) -> int:
+    """The fewest equal blocks for which n spread-out values of so many bits give buckets of about ``load`` at most."""
     equal = 1
-    while n / 2.0 ** (64 // (budget + equal) * equal) > load and equal < 4:
+    while n / 2.0 ** (bits // (budget + equal) * equal) > load and equal < 4:
         equal += 1
     return equal

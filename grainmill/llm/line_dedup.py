@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.perfect_hash import CountTable
@@ -95,45 +96,95 @@ def _rounds(shards: DataFrame, most: int) -> list[list[int]]:
     return rounds
 
 
-def _common(texts: pa.Array, marks: pa.Array, tables: dict[int, CountTable], n_shards: int, rules: LineRules) -> Iterator[np.ndarray]:
-    """For each text, flags of the lines that are common by these tables or marked already."""
+def _line_hashes(texts: pa.Array, rules: LineRules) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Hashes (high, low) of the keys of all lines, 0 and 0 for a line that always stays, and the lines of each text."""
     keys = [line_keys(t.as_py(), rules.least_chars) for t in texts]
     high, low = _hashes([k for doc in keys for k in doc])
+    stays = ~np.fromiter((bool(k) for doc in keys for k in doc), bool, len(high))
+    high[stays], low[stays] = 0, 0
+    return high, low, [*map(len, keys)]
+
+
+def _is_common(high: np.ndarray, low: np.ndarray, tables: dict[int, CountTable], n_shards: int, rules: LineRules) -> np.ndarray:
+    """Flags of the lines whose key these tables hold with a count at or above the limit."""
     counts, shard = np.zeros(len(high), np.uint32), low.view(np.int64) % n_shards
     for k, table in tables.items():
         here = shard == k
         counts[here] = table.get(high[here], low[here])
-    common = (counts >= rules.least_docs) & np.fromiter((bool(k) for doc in keys for k in doc), bool, len(high))
-    at = 0
-    for doc, old in zip(keys, marks):
-        flags = common[at : at + len(doc)]
-        at += len(doc)
-        yield flags | np.unpackbits(np.frombuffer(old.as_py(), np.uint8), count=len(doc)).astype(bool) if old.is_valid else flags
+    return (counts >= rules.least_docs) & ((high | low) != 0)
 
 
-def _probe(shared, n_shards: int, rules: LineRules):
-    """A function of (text, marks) that adds the common lines of the broadcast shards to the marks."""
+def _without(texts: pa.Array, flags: list[np.ndarray]) -> pa.Array:
+    """The struct of each text less its flagged lines."""
+    n_lines, n_dropped, left = [], [], []
+    for t, drop in zip(texts, flags):
+        whole = t.as_py() or ""
+        n_lines.append(len(drop))
+        n_dropped.append(int(drop.sum()))
+        left.append("\n".join([line for line, d in zip(whole.split("\n"), drop.tolist()) if not d]) if drop.any() else whole)
+    return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_dropped", "text"])
 
-    @F.arrow_udf("binary")
-    def probe(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        found = _common(texts, marks, _unpacked(shared), n_shards, rules)
-        return pa.array([np.packbits(flags).tobytes() if flags.any() else None for flags in found], pa.binary())
 
-    return probe
+_KEPT = "struct<n_lines:bigint,n_dropped:bigint,text:string>"
 
 
 def _keep(shared, n_shards: int, rules: LineRules):
-    """A function of (text, marks) that probes the last shards and drops all common lines."""
+    """A function of a text that probes the broadcast shards and drops the common lines."""
+
+    @F.arrow_udf(_KEPT)
+    def kept(texts: pa.Array) -> pa.Array:
+        high, low, sizes = _line_hashes(texts, rules)
+        return _without(texts, np.split(_is_common(high, low, _unpacked(shared), n_shards, rules), np.cumsum(sizes)[:-1]) if sizes else [])
+
+    return kept
+
+
+def _marked(docs: DataFrame, column: Column, shards: DataFrame, rounds: list[list[int]], n_shards: int, rules: LineRules) -> DataFrame:
+    """(a, b, marks): for each distinct text with a common line, named by two hashes, bit masks of its lines.
+
+    Line hashes are written once, and each round broadcasts some of the shards,
+    reads the hashes and writes masks only.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high, low, sizes = _line_hashes(batch.column("t"), rules)
+            parts = np.split(np.stack([high, low], axis=1), np.cumsum(sizes)[:-1]) if sizes else []
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([p.tobytes() for p in parts], pa.binary())], ["a", "b", "keys"])
+
+    keys = written(docs.select(*_text_key(column), column.alias("t")).mapInArrow(hashed, "a bigint, b bigint, keys binary"), "line-keys")
+    found = []
+    for ids in rounds:
+        shared = _shared(shards, ids)
+
+        def probed(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                parts = [np.frombuffer(k.as_py(), np.uint64).reshape(-1, 2) for k in batch.column("keys")]
+                both = np.concatenate(parts or [np.empty((0, 2), np.uint64)])
+                flags = _is_common(np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1]), _unpacked(shared), n_shards, rules)
+                masks = [np.packbits(f).tobytes() if f.any() else None for f in np.split(flags, np.cumsum([*map(len, parts)])[:-1])] if parts else []
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(masks, pa.binary())], ["a", "b", "mask"])
+
+        masks = keys.mapInArrow(probed, "a bigint, b bigint, mask binary").where("mask IS NOT NULL")
+        found.append(written(masks.groupBy("a", "b").agg(F.first("mask").alias("mask")), "line-masks"))
+    return reduce(DataFrame.union, found).groupBy("a", "b").agg(F.collect_list("mask").alias("marks"))
+
+
+def _text_key(text: Column) -> tuple[Column, Column]:
+    own = F.coalesce(text, F.lit(""))
+    return F.xxhash64(own).alias("a"), F.xxhash64(F.lit(11), own).alias("b")
+
+
+def _unmarked():
+    """A function of a text and its masks (null: none) that drops the marked lines."""
 
-    @F.arrow_udf("struct<n_lines:bigint,n_dropped:bigint,text:string>")
+    @F.arrow_udf(_KEPT)
     def kept(texts: pa.Array, marks: pa.Array) -> pa.Array:
-        n_lines, n_dropped, left = [], [], []
-        for t, drop in zip(texts, _common(texts, marks, _unpacked(shared), n_shards, rules)):
-            whole = t.as_py() or ""
-            n_lines.append(len(drop))
-            n_dropped.append(int(drop.sum()))
-            left.append("\n".join([line for line, d in zip(whole.split("\n"), drop.tolist()) if not d]) if drop.any() else whole)
-        return pa.StructArray.from_arrays([pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_dropped", "text"])
+        flags = []
+        for t, masks in zip(texts, marks):
+            n = (t.as_py() or "").count("\n") + 1
+            flags.append(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(m, np.uint8) for m in masks.as_py()]), count=n).astype(bool) if masks.is_valid else np.zeros(n, bool))
+        return _without(texts, flags)
 
     return kept
 
@@ -145,7 +196,9 @@ def drop_common_lines(docs: DataFrame, text: str = "text", out: str = "lines", r
     lower-cased; a line without a key stays.  Keys of enough rows (repeated rows
     count each) are indexed by sharded minimal perfect hashes with fingerprints
     and counts, and documents probe these arrays: lines are neither joined nor
-    shuffled again.  Keys below the limit can change nothing and are not
+    shuffled again.  An index of more than ``round_bytes`` is broadcast in
+    rounds, which write masks of lines and no text; one join by text hash brings
+    these to the rows.  Keys below the limit can change nothing and are not
     indexed; the 64-bit fingerprint beside the 128-bit position hash tells them
     apart.
 
@@ -153,12 +206,12 @@ def drop_common_lines(docs: DataFrame, text: str = "text", out: str = "lines", r
     table stays empty.  A column named as ``out`` is replaced, others pass.
     """
     shards, n_shards = _shards(line_counts(docs, text, rules), rules)
-    column, mark = F.col(f"`{text}`"), "__common_lines"
-    marked = docs.withColumn(mark, F.lit(None).cast("binary"))
-    *earlier, last = _rounds(shards, rules.round_bytes)
-    for ids in earlier:
-        marked = written(marked.withColumn(mark, _probe(_shared(shards, ids), n_shards, rules)(column, F.col(mark))), "marked")
-    return marked.withColumn(out, _keep(_shared(shards, last), n_shards, rules)(column, F.col(mark))).drop(mark)
+    column, rounds = F.col(f"`{text}`"), _rounds(shards, rules.round_bytes)
+    if len(rounds) == 1:
+        return docs.withColumn(out, _keep(_shared(shards, rounds[0]), n_shards, rules)(column))
+    marks = _marked(docs, column, shards, rounds, n_shards, rules).select(F.struct("a", "b").alias("__marked_text"), F.col("marks").alias("__line_marks"))
+    joined = docs.withColumn("__marked_text", F.struct(*_text_key(column))).join(marks, "__marked_text", "left")
+    return joined.withColumn(out, _unmarked()(column, F.col("__line_marks"))).drop("__marked_text", "__line_marks")
 
 
 def _shared(shards: DataFrame, ids: list[int]):

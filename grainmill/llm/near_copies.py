@@ -1,4 +1,10 @@
-"""Near copies by the similarity of their sets of word shingles: MinHash bands bring candidates together, the exact similarity links them."""
+"""Near copies from a similarity of word shingles on: fingerprints bring candidates together, the exact similarity links them.
+
+Texts whose five-word shingles have a similarity of 0.8 differ in about ten of
+64 fingerprint bits, and within ten bits of a fingerprint lie more strangers
+than copies.  The trie join of fingerprints therefore finds the close copies
+only, and bands of least hashes of the same shingles find the others.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from grainmill.llm.hamming import Forest
-from grainmill.llm.simhash import SEED, shingle_hashes
+from grainmill.llm.simhash import SEED, SimHashRules, fingerprint_components, fingerprints_of, keep_keys, keyed_rows, shingle_hashes
 from grainmill.llm.text import mix, written
 from grainmill.operators.components import connected_components
 
@@ -24,7 +30,8 @@ _STEP = 512
 class NearCopyRules:
     """Two texts are linked from ``percent`` on: common shingles against all shingles of both, repeats not counted.
 
-    ``bands`` of ``rows`` minima each miss a pair of similarity s with a chance of
+    Candidates are texts whose fingerprints ``simhash`` links, and texts that
+    share a band.  ``bands`` of ``rows`` minima each miss a pair of similarity s with a chance of
     ``(1 - s ** rows) ** bands``: 5e-7 at 0.8.  A candidate group of more than
     ``split_size`` texts is dealt to several tasks, each of which joins two of its
     shares.
@@ -35,6 +42,7 @@ class NearCopyRules:
     bands: int = 48
     rows: int = 6
     split_size: int = 2048
+    simhash: SimHashRules = SimHashRules(shingle_words=5)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -83,28 +91,28 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return forest.parent
 
 
-def _marked(docs: DataFrame, rules: NearCopyRules) -> DataFrame:
-    """(key, doc_id, digest, bands) of rows (key, doc_id, text); texts with equal sets have equal digests."""
+def _marked(slim: DataFrame, rules: NearCopyRules) -> DataFrame:
+    """(key, doc_id, digest, fingerprint, bands) of rows (key, doc_id, text), from one pass over the shingles; texts with equal sets have equal digests."""
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            digests, bands = [], []
-            for t in b.column("text"):
-                shingles = shingle_set(t.as_py(), rules.shingle_words)
-                digests.append(xxhash.xxh3_128_digest(shingles.tobytes()))
-                bands.append(band_keys(shingles, rules))
-            columns = [b.column("key"), b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "digest", "bands"])
+            hashes = [shingle_hashes(t.as_py(), rules.shingle_words) for t in b.column("text")]
+            sets = [np.unique(np.array(h, np.uint64)) for h in hashes]
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary())
+            bands = pa.array([band_keys(x, rules) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("doc_id"), digests, fingerprints_of(hashes), bands], ["key", "doc_id", "digest", "fingerprint", "bands"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(marks, f"key string, doc_id {kind}, digest binary, bands array<bigint>")
+    kind = slim.schema["doc_id"].dataType.simpleString()
+    return slim.mapInArrow(marks, f"key string, doc_id {kind}, digest binary, fingerprint bigint, bands array<bigint>")
 
 
-def _candidate_groups(classes: DataFrame) -> DataFrame:
-    """(node, component): classes that chains of equal band keys bring together."""
-    keyed = classes.select("id", F.explode("bands").alias("band"))
-    least = keyed.groupBy("band").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "least")
-    return connected_components(keyed.join(least, "band").where("id <> least").select("id", "least").distinct(), "id", "least")
+def _candidate_groups(classes: DataFrame, rules: NearCopyRules) -> DataFrame:
+    """(node, component): classes that chains of linked fingerprints or equal band keys bring together."""
+    roots = fingerprint_components(classes, "fingerprint", rules.simhash)
+    near = classes.select("id", F.col("fingerprint").alias("f")).join(roots, "f", "left").select("id", F.coalesce("root", "f").alias("group"), F.lit(-1).alias("kind"))
+    keyed = near.union(classes.select("id", F.explode("bands").alias("group"), F.lit(0).alias("kind")))
+    least = keyed.groupBy("kind", "group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return connected_components(keyed.join(least, ["kind", "group"]).where("id <> least").select("id", "least").distinct(), "id", "least")
 
 
 def _links(texts: DataFrame, rules: NearCopyRules) -> DataFrame:
@@ -141,17 +149,14 @@ def keep_one_near_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     (null, empty, white space) are copies of each other.  Ids that are null come
     last.  Repeated rows are copies too.  Columns are those of the input.
     """
-    key, body = "__copy_key", F.col(f"`{text}`")
-    tagged = lambda c: F.coalesce(F.concat(F.lit("v"), c.cast("string")), F.lit("n"))
-    with_key = docs.withColumn(key, F.md5(F.concat(tagged(F.col(f"`{doc_id}`")), F.lit("\x00"), tagged(body))))
-    slim = with_key.select(F.col(key).alias("key"), F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"))
+    slim = keyed_rows(docs, doc_id, text)
     marked = written(_marked(slim, rules), "marks")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    classes = written(marked.groupBy("digest").agg(first, F.first("bands").alias("bands")).select(F.monotonically_increasing_id().alias("id"), "first", "bands"), "classes")
-    groups = _candidate_groups(classes).withColumnRenamed("node", "id")
+    values = [F.first(c).alias(c) for c in ("fingerprint", "bands")]  # repeats of shingles may tell texts of one set apart
+    classes = written(marked.groupBy("digest").agg(first, *values).select(F.monotonically_increasing_id().alias("id"), "first", "fingerprint", "bands"), "classes")
+    groups = _candidate_groups(classes, rules).withColumnRenamed("node", "id")
     wanted = classes.join(groups, "id").select("id", "component", F.col("first.key").alias("key"))
     texts = written(slim.select("key", "text").join(wanted, "key").select("id", "component", "text"), "candidates")
     roots = connected_components(_links(texts, rules), "a", "b").withColumnRenamed("node", "id")
     rooted = classes.select("id", "first").join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first"))
-    chosen = rooted.select(F.col("first.key").alias(key))
-    return with_key.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
+    return keep_keys(docs, marked, rooted.select("first.key"), doc_id, text)

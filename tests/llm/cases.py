@@ -81,6 +81,40 @@ def covered_chars(text: str | None, n: int) -> int:
     return sum(len(words[j]) for j in inside)
 
 
+def passes_rules(text: str | None) -> bool:
+    """The base rule and the limits on characters in repeated windows of 5, 7 and 10 words and in repeated lines."""
+    words, chars, _, _, repeat = repetition(text)
+    seen, doubled = set(), 0
+    for line in (text or "").split("\n"):
+        if WORD.search(line):
+            doubled += sum(map(len, WORD.findall(line))) * (line in seen)
+            seen.add(line)
+    covered = all(covered_chars(text, n) <= share * chars for n, share in ((5, 0.30), (7, 0.25), (10, 0.20)))
+    return words >= 10 and 100 * repeat <= 20 * words and doubled <= 0.30 * chars and covered
+
+
+def similar(all_texts: list[str | None], width: int = 5, percent: int = 80) -> list[int]:
+    """The first text of each text's component; links are shingle sets with the similarity."""
+
+    def shingles(text):
+        words = [w.lower() for w in WORD.findall(text or "")]
+        return {tuple(words[i : i + width]) for i in range(len(words) - width + 1)} or {tuple(words)}
+
+    root, sets = [*range(len(all_texts))], [*map(shingles, all_texts)]
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
 def lines_dropped(all_texts: list[str | None], least: int) -> list[tuple[int, int, str]]:
     key = lambda line: line.encode().strip(b" \t\n\x0b\x0c\r").lower()
     counts = Counter(k for t in all_texts for k in {key(x) for x in (t or "").split("\n")})

@@ -1,5 +1,8 @@
+import itertools
+import json
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from grainmill.llm import bpe, flow, hamming, line_dedup, media, mixture, perfect_hash, quality_rules, repeated_bytes, sections, simhash, suffix_sort
+from grainmill.plans import lineage
 from tests.llm import cases as C
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -55,6 +59,18 @@ def test_line_dedup_matches_brute_force(spark, rules):
     assert got == want
 
 
+def test_rounds_write_no_texts(spark, monkeypatch):
+    rules = line_dedup.LineRules(least_docs=2, shard_keys=1, round_bytes=1)
+    texts = ["\n".join([f"own {i}", *(f"shared {j}" for j in range(i, i + 30)), ""]) for i in range(8)]
+    docs, tables = spark.createDataFrame(enumerate([*texts, None, texts[0]]), "doc_id long, text string"), []
+    monkeypatch.setattr(line_dedup, "written", lambda df, label: tables.append((label, df.schema)) or lineage.written(df, label))
+    got = by_row(line_dedup.drop_common_lines(docs, rules=rules), "lines.n_lines", "lines.n_dropped", F.col("lines.text").alias("left"))
+    given = [r.text for r in docs.orderBy("doc_id").collect()]
+    assert got == sorted(((i, t, *x) for (i, t), x in zip(enumerate(given), C.lines_dropped(given, 2))), key=repr)
+    assert len(tables) > 20
+    assert not [label for label, schema in tables if "string" in schema.simpleString()]
+
+
 def test_perfect_hash_is_minimal_and_tells_strangers():
     rng = np.random.default_rng(1)
     high, low = rng.integers(0, 1 << 63, 20000, dtype=np.uint64), rng.integers(0, 50, 20000).astype(np.uint64)
@@ -87,6 +103,29 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert ids.count(None) == 1  # the row without an id that has no near copy
 
 
+@pytest.mark.parametrize("split_size", [3, 40, 500])
+def test_large_buckets_lose_no_link(spark, split_size):
+    rng = random.Random(split_size)
+    base = rng.getrandbits(64)
+    marks = {base ^ sum(1 << b for b in rng.sample(range(20, 44), rng.randint(0, 12))) for _ in range(400)}  # one bucket for every choice outside these bits
+    marks = [m - (1 << 64) if m >> 63 else m for m in marks]
+    frame = spark.createDataFrame([(m,) for m in marks], "f0 long")
+    rules = simhash.SimHashRules(split_size=split_size)
+    roots = {r.f: r.root for r in simhash.fingerprint_components(frame, "f0", rules).collect()}
+    want = C.components(marks, marks)
+    groups = lambda keys: sorted(sorted(m for m, k in zip(marks, keys) if k == g) for g in set(keys))
+    assert groups([roots.get(m, m) for m in marks]) == groups(want)
+
+
+def test_a_large_bucket_costs_few_rows(spark):
+    rules = simhash.SimHashRules()
+    frame = spark.range(200_000).select(((F.xxhash64("id").bitwiseAND(F.lit((1 << 51) - 1))) * 4096).alias("f")).select("f", F.lit(0).alias("choice"), F.struct(F.lit(0).alias("choice"), F.lit(0).cast("long").alias("value")).alias("bucket"))
+    sizes = frame.groupBy("bucket").count()
+    dealt = simhash._in_shares(simhash._by_other_blocks(frame, [4095], sizes, rules), rules)
+    assert dealt.count() <= 5 * 200_000
+    assert dealt.groupBy("bucket").count().agg(F.max("count")).first()[0] <= 2 * rules.split_size
+
+
 @pytest.mark.parametrize("budget", [0, 1, 4])
 def test_trie_join_finds_every_component(budget):
     rng = np.random.default_rng(budget)
@@ -129,6 +168,44 @@ def test_min_cost_flow_is_cheapest():
     assert flow.route([((None,), 0)], {None: 0}, 2) == [{None: 0}]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_min_cost_flow_matches_exhaustive_search(seed):
+    rng = random.Random(seed)
+    names = "abc"[: rng.randint(1, 3)]
+    patterns = [(tuple(rng.sample(names, rng.randint(1, len(names)))), rng.randint(0, 3)) for _ in range(rng.randint(1, 4))]
+    quotas = {s: rng.randint(0, 5) for s in names}
+    cost = lambda used, words: sum(2 * (i // words) + 1 for i in range(used))
+
+    def ways(i, need):
+        """(given, cost) of every way to give the words of the patterns from i on."""
+        if i == len(patterns):
+            yield 0, 0
+            return
+        sources, words = patterns[i]
+        for given in itertools.product(*(range(min(need[s], 2 * words) + 1) for s in sources)):
+            if sum(given) <= 2 * words:
+                for more, price in ways(i + 1, need | {s: need[s] - g for s, g in zip(sources, given)}):
+                    yield sum(given) + more, cost(sum(given), words) + price if words else price
+
+    best = min((-given, price) for given, price in ways(0, quotas))
+    flows = flow.route(patterns, quotas, 2)
+    used = [sum(f.values()) for f in flows]
+    assert all(v >= 0 for f in flows for v in f.values()) and all(sum(f.get(s, 0) for f in flows) <= quotas[s] for s in names)
+    assert (-sum(used), sum(cost(u, w) for u, (_, w) in zip(used, patterns) if w)) == best
+
+
+def test_ten_thousand_patterns_are_routed_in_seconds():
+    rng = random.Random(1)
+    names = [f"s{i}" for i in range(60)]
+    patterns = [(tuple(rng.sample(names, rng.randint(1, 4))), rng.randint(1, 10_000)) for _ in range(10_000)]
+    size = sum(w for _, w in patterns)
+    quotas = {s: int(1.5 * size * (1 + i % 3) / 120) for i, s in enumerate(names)}
+    began = time.process_time()
+    flows = flow.route(patterns, quotas, 2)
+    assert time.process_time() - began < 10
+    assert sum(sum(f.values()) for f in flows) == sum(quotas.values())
+
+
 def test_targets_are_capped_and_shared_again():
     got = flow.capped_targets({"a": 10, "b": 100, "c": 50}, {"a": 3, "b": 1, "c": 2}, 240, 2)
     assert got["a"] == 20 and abs(sum(got.values()) - 240) < 1e-9 and got["c"] == 100 and got["b"] == 120
@@ -249,7 +326,7 @@ def test_one_passage_between_many_texts_and_swapped_letters(spark, rules):
 @given(st.lists(st.text("ab", max_size=60), max_size=6), st.integers(5, 14))
 def test_equal_strings_of_dealt_runs_meet(texts, width):
     """Every two equal strings get the same group and distance, and each string of a run is in one piece."""
-    rules = repeated_bytes.RepeatRules(width=width, anchor=3)
+    rules = repeated_bytes.RepeatRules(width=width, anchor=3, dealt_strings=3)
     groups = {}
     for t in texts:
         data = t.encode()
@@ -300,6 +377,31 @@ def test_media_round_trip_and_digest(spark):
     assert got == expected(want)
 
 
+@pytest.mark.parametrize("n", [0, 1, 64, 65])
+def test_stored_payload_reads_back_elsewhere(n):
+    import io
+    import wave
+
+    payload = random.Random(n).randbytes(n)
+    with wave.open(io.BytesIO(media.pack_wav(payload))) as stored:
+        assert (stored.getnchannels(), stored.getsampwidth(), stored.getframerate(), stored.getnframes()) == (1, 1, media.SAMPLE_RATE, n)
+        assert stored.readframes(n) == payload
+
+
+@pytest.mark.parametrize("unit", [
+    *(b"\0" * at + magic + more for magic, at in media.MAGIC.values() for more in (b"", b"1.4 ", b"\0")),
+    b"GIF89a\1\0\1\0\0\0\0\x21\xf9\x04abcd", b"\x89PNG\r\n\x1a\n\0\0\0\x0dIHDR" + b"x" * 17, b"\xff\xd8\xff\xe0\x00\x04ab\xff\xda\x00\x04ab",
+    b"RIFF" + struct.pack("<I", 200_000) + b"WAVEdata\1\0\0\0xx", b"%PDF-1.startxref", b"PK\3\4PK\5\6", b"\x1f\x8b\x08\x08",
+])
+def test_dense_magic_takes_time_in_proportion(unit):
+    took = []
+    for size in (200_000, 800_000):
+        began = time.process_time()
+        media.sniff((unit * (size // len(unit) + 1))[:size])
+        took.append(time.process_time() - began)
+    assert took[1] < max(8 * took[0], 1.0)
+
+
 def png(width=1):
     chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (width + 1))) + chunk(b"IEND", b"")
@@ -358,3 +460,10 @@ def test_clashing_columns_pass(spark):
     for made in (quality_rules.with_repetition_rules(docs), line_dedup.drop_common_lines(docs), bpe.with_bpe(docs, BPE), media.with_media_digest(docs)):
         assert made.where("size = 'own' AND `from` = 'own'").count() == n
     assert mixture.mix_documents(docs, F.array("source")).columns == docs.columns
+
+
+def test_other_vocabulary_files_are_refused():
+    spec = json.loads(open(BPE, encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="vocabulary file"):
+            bpe.Encoder(json.dumps(spec | change), {})
