@@ -34,15 +34,16 @@ class RepeatRules:
 
     Strings are bucketed by their minimizer, the ``anchor``-byte substring with
     the least hash.  A bucket of more than ``bucket_runs`` different runs of
-    strings is dealt by the bytes around the minimizer to several tasks, and a
-    group of these of over ``group_bytes`` string by string.  Both limits are
-    absolute, so no task grows with the corpus.
+    strings is dealt by the bytes around the minimizer, ``dealt_strings`` strings
+    together, and a group of these of over ``group_bytes`` is sorted in parts.
+    The limits are absolute, so no task grows with the corpus.
     """
 
     width: int = 200
     anchor: int = 32
-    bucket_runs: int = 2000
-    group_bytes: int = 8 << 20
+    bucket_runs: int = 1000
+    dealt_strings: int = 12
+    group_bytes: int = 1 << 20
 
     def __post_init__(self):
         if not 0 < self.anchor <= self.width < 1 << _PLACE_BITS:
@@ -172,7 +173,7 @@ def text_key(text: Column) -> tuple[Column, Column]:
 
 _TEXT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("packed", pa.binary())])
 _STORED = pa.schema([*_TEXT, ("runs", pa.binary())])
-_DDL = {pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
+_DDL = {pa.bool_(): "boolean", pa.int64(): "bigint", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string"}
 
 
 def _ddl(schema: pa.Schema) -> str:
@@ -286,24 +287,25 @@ def _slices(contents: DataFrame, store: DataFrame, rules: RepeatRules) -> DataFr
                             dealt.setdefault((group, _xxh3(piece, seed=far)), []).append((w, at, far, piece))
                     else:
                         # A run that occurs again is sorted for the others' sake only.
-                        rows.append((w["bucket"], w["content"], w["n"], ahead, run, *((w["bucket"], w["content"]) if w["n"] < 2 else (None, None)), 0))
+                        rows.append((w["bucket"], w["content"], w["n"], ahead, run, *((w["bucket"], w["content"]) if w["n"] < 2 else (None, None)), 0, False))
             for (group, piece), found in dealt.items():
                 w, at, far, text = found[0]
                 if len(found) == 1 and w["n"] < 2:
-                    rows.append((_signed(group), _signed(piece), 1, far, text, w["bucket"], w["content"], at))
+                    rows.append((_signed(group), _signed(piece), 1, far, text, w["bucket"], w["content"], at, True))
                     continue
-                rows.append((_signed(group), _signed(piece), 2, far, text, None, None, 0))
-                for w, at, far, text in found:  # settled here; sent on under keys of their own
+                rows.append((_signed(group), _signed(piece), 2, far, text, None, None, 0, True))
+                for w, at, far, text in found:  # settled here
                     if w["n"] < 2:
-                        rows.append((w["content"], None, 2, far, None, w["bucket"], w["content"], at << _PLACE_BITS | len(text)))
+                        rows.append((None, len(text), 2, far, None, w["bucket"], w["content"], at, True))
             yield _batch(rows, _PIECE)
 
     return store.select("a", "b", "packed").join(wanted, ["a", "b"]).select("packed", "wanted").mapInArrow(cut, _ddl(_PIECE))
 
 
 #: ``ahead``: the minimizer's distance from the first string of the piece; (run_bucket, run_content, at): where the
-#: piece begins in which run, null for a piece that is there to be compared with only.
-_PIECE = pa.schema([(c, pa.int64()) for c in ("bucket", "content", "n", "ahead")] + [("bytes", pa.binary())] + [(c, pa.int64()) for c in ("run_bucket", "run_content", "at")])
+#: piece begins in which run, null for a piece that is there to be compared with only.  Without a bucket the piece is
+#: known to be repeated, and the content is its size.
+_PIECE = pa.schema([(c, pa.int64()) for c in ("bucket", "content", "n", "ahead")] + [("bytes", pa.binary())] + [(c, pa.int64()) for c in ("run_bucket", "run_content", "at")] + [("dealt", pa.bool_())])
 _FOUND = pa.schema([("bucket", pa.int64()), ("content", pa.int64()), ("spans", pa.binary()), ("group", pa.int64()), ("string", pa.int64()), ("n", pa.int64()), ("at", pa.int64())])
 
 
@@ -312,21 +314,21 @@ def _signed(x: int) -> int:
 
 
 def _pieces(bucket: int, ahead: int, count: int, run: bytes, rules: RepeatRules) -> Iterator[tuple[int, int, int, bytes]]:
-    """(group, first string, distance, bytes) of the parts of a run whose strings' distance from the minimizer has one bit length.
+    """(group, first string, distance, bytes) of the parts of a run, ``dealt_strings`` distances from the minimizer each.
 
     The strings of a part have the bytes from the least such distance before the
     minimizer to the end of the farthest one in common with every equal string,
     so these bytes name the group: equal strings meet, and the strings of a group
-    differ in the other bytes only, which are few where the distance is small.
+    differ in a few bytes at their ends only.
     """
     far, near = ahead, ahead - count + 1
-    for bits in range(near.bit_length(), far.bit_length() + 1):
-        low, high = (1 << bits) >> 1, (1 << bits) - 1
+    for part in range(near // rules.dealt_strings, far // rules.dealt_strings + 1):
+        low, high = part * rules.dealt_strings, (part + 1) * rules.dealt_strings - 1
         most, least = min(high, far), max(low, near)
         after = max(rules.width - rules.anchor - high, 0)
         named = run[ahead - low : ahead + rules.anchor + after]
         at = ahead - most
-        yield _xxh3(b"%d %d " % (bucket, bits) + named), at, most, run[at : at + most - least + rules.width]
+        yield _xxh3(b"%d %d " % (bucket, part) + named), at, most, run[at : at + most - least + rules.width]
 
 
 def _flag_spans(flags: np.ndarray, width: int, at: int = 0) -> bytes:
@@ -351,57 +353,51 @@ def _strings(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.
 def _settled(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
     """Rows of _FOUND: the repeated spans of each run, from sorting all strings of a bucket or group together.
 
-    A group of over ``group_bytes`` is not held: its strings are given back one
-    by one, as (group, string, n, at).
+    Buckets, which have ``bucket_runs`` at most, go to a task each.  Of the
+    groups that larger ones were dealt to, ranges of (bucket, content) between
+    sampled splitters go to tasks, so a great group goes to many.  Of a group
+    that a task may not see whole, the first and the last one, and of a group of
+    over ``group_bytes``, parts are sorted, and the strings that no other of the
+    part equals are given back as (group, string, n, at), with one of each set of
+    equal ones.
     """
     width = rules.width
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[pa.RecordBatch]:
         rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
-        held: list[tuple] = []
+        held: list[tuple] = []  # whole groups
+        mine: list[tuple] = []  # the last group
         out: list[tuple] = []
-        size = here = 0  # bytes held, and those of the last group
-        last, large = None, False
+        size, here, last, open_ = 0, 0, None, not whole  # ``open_``: the last group may go on in another task or part
         for (group, piece), copies in groupby(rows, key=itemgetter(0, 1)):
-            row = next(copies)
-            if piece is None:  # settled already
-                out += (span(r, r[7] >> _PLACE_BITS, r[7] & _PLACE_MASK) for r in (row, *copies))
-            else:
-                for other in copies:  # equal pieces repeat each other as a whole, and one of them stands for all
-                    out += (span(r, r[7], len(r[4])) for r in (row, other) if r[5] is not None)
-                    row = (group, piece, 2, row[3], row[4], None, None, 0)
-                    if len(out) > _OUT_ROWS:
-                        yield _batch(out, _FOUND)
-                        out = []
-                if group != last:
+            if last is not None and group != last:
+                if open_:
+                    yield settle(mine, True)
+                else:
+                    held += mine
+                    size += here
                     if size > CHUNK_BYTES:
-                        yield settle(held)
+                        yield settle(held, False)
                         held, size = [], 0
-                    last, here, large = group, 0, False
-                here += len(row[4])
-                if not large and here > rules.group_bytes:
-                    large = True
-                    mine = sum(r[0] == group for r in held)
-                    for r in held[len(held) - mine :]:
-                        yield apart(r)
-                    size -= sum(len(r[4]) for r in held[len(held) - mine :])
-                    held = held[: len(held) - mine]
-                if large:
-                    yield apart(row)
-                else:
-                    held.append(row)
-                    size += len(row[4])
-            if len(out) > _OUT_ROWS:
-                yield _batch(out, _FOUND)
-                out = []
-        yield settle(held)
+                mine, here, open_ = [], 0, False
+            last, row = group, next(copies)
+            for other in copies:  # equal pieces repeat each other as a whole, and one of them stands for all
+                out += ((r[5], r[6], struct.pack("<2i", r[7], r[7] + len(r[4])), None, None, None, None) for r in (row, other) if r[5] is not None)
+                row = (group, piece, 2, row[3], row[4], None, None, 0, row[8])
+                if len(out) > _OUT_ROWS:
+                    yield _batch(out, _FOUND)
+                    out = []
+            mine.append(row)
+            here += len(row[4])
+            if here > rules.group_bytes and not whole:
+                yield settle(mine, True)
+                mine, here, open_ = [], 0, True
+        yield settle(mine, not whole)
+        yield settle(held, False)
         yield _batch(out, _FOUND)
 
-    def span(row: tuple, at: int, size: int) -> tuple:
-        return row[5], row[6], struct.pack("<2i", at, at + size), None, None, None, None
-
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        if len(rows) < 2:
+    def settle(rows: list[tuple], part: bool) -> pa.RecordBatch:
+        if not rows:
             return _batch([], _FOUND)
         counts, owner, starts = _strings(rows, width)
         ends = np.cumsum(counts)
@@ -409,20 +405,30 @@ def _settled(pieces: DataFrame, rules: RepeatRules) -> DataFrame:
         # Equal strings hold their minimizer at the same distance, so only such strings are sorted together.
         bucket, ahead = (np.array([r[i] for r in rows], np.int64)[owner] for i in (0, 3))
         groups = (bucket.view(np.uint64) * _GROUP_MULTIPLIER) + (ahead - within).astype(np.uint64)
-        flags = equal_suffixes(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), starts, groups, width)
+        data = b"".join(r[4] for r in rows)
+        flags = equal_suffixes(np.frombuffer(data, np.uint8), starts, groups, width)
         out = [(r[5], r[6], _flag_spans(flags[e - c : e], width, r[7]), None, None, None, None) for r, c, e in zip(rows, counts, ends) if r[5] is not None and flags[e - c : e].any()]
+        if part:
+            view, known = memoryview(data), set()
+            for i, (k, flag) in enumerate(zip(owner.tolist(), flags.tolist())):
+                r = rows[k]
+                string = _signed(_xxh3(view[starts[i] : starts[i] + width], seed=int(ahead[i] - within[i])))
+                if flag or r[5] is None:
+                    if string not in known:
+                        known.add(string)
+                        out.append((None, None, None, r[0], string, 2, None))
+                else:
+                    out.append((r[5], r[6], None, r[0], string, r[2], int(r[7] + within[i])))
         return _batch(out, _FOUND)
 
-    def apart(row: tuple) -> pa.RecordBatch:
-        group, _, n, ahead, text, *run, at = row
-        view = memoryview(text)
-        return _batch([(*run, None, group, _signed(_xxh3(view[i : i + width], seed=ahead - i)), n, at + i) for i in range(len(text) - width + 1)], _FOUND)
-
-    return pieces.repartition("bucket").sortWithinPartitions("bucket", "content").mapInArrow(found, _ddl(_FOUND))
+    buckets, groups = pieces.where("NOT dealt"), pieces.where("dealt AND bucket IS NOT NULL")
+    by_bucket = buckets.repartition("bucket").sortWithinPartitions("bucket", "content").mapInArrow(lambda rows: found(rows, True), _ddl(_FOUND))
+    by_range = groups.repartitionByRange("bucket", "content").sortWithinPartitions("bucket", "content").mapInArrow(lambda rows: found(rows, False), _ddl(_FOUND))
+    return by_bucket.union(by_range)
 
 
 def _equal_strings(apart: DataFrame, width: int) -> DataFrame:
-    """The repeated spans of runs from strings that were given back one by one: equal ones are all that is left of a group."""
+    """The repeated spans of runs from strings that were given back one by one: those that are equal across parts."""
     again = apart.groupBy("group", "string").agg(F.sum("n").alias("times")).where("times > 1").select("group", "string")
     places = apart.where("bucket IS NOT NULL").join(again, ["group", "string"]).groupBy("bucket", "content").agg(F.collect_list("at").alias("places"))
 
@@ -457,11 +463,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = Rep
     width = rules.width
     store = _distinct_texts(docs, F.col(f"`{text}`"), rules)
     contents = written(_contents(store, rules.bucket_runs), "contents")
-    found = written(_settled(_slices(contents.where(F.col("state") > _COUNTED), store, rules), rules), "repeats")
-    partly = found.where("string IS NULL").select("bucket", "content", "spans")
-    apart = found.where("string IS NOT NULL")
-    if not apart.isEmpty():
-        partly = partly.union(_equal_strings(apart, width))
+    pieces = written(_slices(contents.where(F.col("state") > _COUNTED), store, rules), "pieces")
+    found = written(_settled(pieces, rules), "repeats")
+    apart = written(_equal_strings(found.where("string IS NOT NULL"), width), "strings")
+    partly = found.where("string IS NULL").select("bucket", "content", "spans").union(apart)
     wholly = contents.where("n > 1").select("bucket", "content", F.lit(None).cast("binary").alias("spans"))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -471,8 +476,12 @@ def repeated_spans(docs: DataFrame, text: str = "text", rules: RepeatRules = Rep
 
     placed = store.where("n = 1").select("a", "b", "n", "runs").mapInArrow(places, "bucket bigint, content bigint, a bigint, b bigint, place bigint")
     first, _, count = (F.expr(f"cast({x} as int)") for x in (f"shiftright(place, {2 * _PLACE_BITS})", "0", f"place & {_PLACE_MASK}"))
-    marks = placed.join(wholly.union(partly), ["bucket", "content"])
-    marks = marks.select("a", "b", first.alias("from"), (first + count + width - 1).alias("to"), "spans")
+    known = pieces.where("bucket IS NULL").select(F.col("run_bucket").alias("bucket"), F.col("run_content").alias("content"), F.lit(None).cast("binary").alias("spans"), F.col("at").alias("at"), F.col("content").alias("size"))
+    none = F.lit(None).cast("bigint")
+    repeated = wholly.union(partly).select("*", none.alias("at"), none.alias("size")).union(known)
+    marks = placed.join(repeated, ["bucket", "content"])
+    from_ = (first + F.coalesce("at", F.lit(0))).cast("int")
+    marks = marks.select("a", "b", from_.alias("from"), F.coalesce((from_ + F.col("size")).cast("int"), first + count + width - 1).alias("to"), "spans")
     gathered = marks.groupBy("a", "b").agg(F.collect_list(F.struct("from", "to", "spans")).alias("marks"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
