@@ -32,16 +32,16 @@ class NearCopyRules:
 
     Candidates are texts whose fingerprints ``simhash`` links, and texts that
     share a band.  ``bands`` of ``rows`` minima each miss a pair of similarity s with a chance of
-    ``(1 - s ** rows) ** bands``: 5e-7 at 0.8.  A candidate group of more than
+    ``(1 - s ** rows) ** bands``: 1.5e-5 at 0.8.  A candidate group of more than
     ``split_size`` texts is dealt to several tasks, each of which joins two of its
     shares.
     """
 
     shingle_words: int = 5
     percent: int = 80
-    bands: int = 48
-    rows: int = 6
-    split_size: int = 2048
+    bands: int = 28
+    rows: int = 5
+    split_size: int = 1024
     simhash: SimHashRules = SimHashRules(shingle_words=5)
 
 
@@ -109,10 +109,11 @@ def _marked(slim: DataFrame, rules: NearCopyRules) -> DataFrame:
 def _candidate_groups(classes: DataFrame, rules: NearCopyRules) -> DataFrame:
     """(node, component): classes that chains of linked fingerprints or equal band keys bring together."""
     roots = fingerprint_components(classes, "fingerprint", rules.simhash)
-    near = classes.select("id", F.col("fingerprint").alias("f")).join(roots, "f", "left").select("id", F.coalesce("root", "f").alias("group"), F.lit(-1).alias("kind"))
-    keyed = near.union(classes.select("id", F.explode("bands").alias("group"), F.lit(0).alias("kind")))
-    least = keyed.groupBy("kind", "group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return connected_components(keyed.join(least, ["kind", "group"]).where("id <> least").select("id", "least").distinct(), "id", "least")
+    near = classes.select("id", F.col("fingerprint").alias("f")).join(roots, "f", "left").select("id", F.xxhash64(F.lit("root"), F.coalesce("root", "f")).alias("group"))
+    keyed = near.union(classes.select("id", F.explode("bands").alias("group")))
+    least = keyed.groupBy("group").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "least")
+    pairs = keyed.join(least.hint("merge"), "group").where("id <> least").select("id", "least").distinct()
+    return connected_components(written(pairs, "pairs"), "id", "least")
 
 
 def _links(texts: DataFrame, rules: NearCopyRules) -> DataFrame:
@@ -156,7 +157,7 @@ def keep_one_near_copy(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     classes = written(marked.groupBy("digest").agg(first, *values).select(F.monotonically_increasing_id().alias("id"), "first", "fingerprint", "bands"), "classes")
     groups = _candidate_groups(classes, rules).withColumnRenamed("node", "id")
     wanted = classes.join(groups, "id").select("id", "component", F.col("first.key").alias("key"))
-    texts = written(slim.select("key", "text").join(wanted, "key").select("id", "component", "text"), "candidates")
-    roots = connected_components(_links(texts, rules), "a", "b").withColumnRenamed("node", "id")
+    texts = written(slim.select("key", "text").join(wanted.hint("merge"), "key").select("id", "component", "text"), "candidates")
+    roots = connected_components(written(_links(texts, rules), "links"), "a", "b").withColumnRenamed("node", "id")
     rooted = classes.select("id", "first").join(roots, "id", "left").groupBy(F.coalesce("component", "id").alias("root")).agg(F.min("first").alias("first"))
     return keep_keys(docs, marked, rooted.select("first.key"), doc_id, text)
