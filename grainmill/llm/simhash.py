@@ -122,7 +122,7 @@ def fingerprint_components(fingerprints: DataFrame, column: str, rules: SimHashR
 
     # Two buckets with one hash only share a task's trie; links are tested by distance all the same.
     links = dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(joined, "a bigint, b bigint")
-    return connected_components(links, "a", "b").select(F.col("node").alias("f"), F.col("component").alias("root"))
+    return connected_components(written(links, "links"), "a", "b").select(F.col("node").alias("f"), F.col("component").alias("root"))
 
 
 #: Fingerprints of whole buckets that a task walks at a time.
@@ -223,6 +223,6 @@ def keep_keys(docs: DataFrame, marked: DataFrame, chosen: DataFrame, doc_id: str
     counts = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).join(chosen.withColumn("chosen", F.lit(True)), "key", "left")
     odd = written(counts.where("chosen IS NULL OR n > 1").select(F.col("key").alias(name), F.coalesce("chosen", F.lit(False)).alias("again")), "leaving")
     rows = docs.withColumn(name, _row_key(doc_id, text))
-    once = rows.join(odd, name, "left_anti")
+    once = rows.join(odd.hint("merge"), name, "left_anti")  # the same plan at every size
     again = rows.join(odd.where("again"), name, "left_semi").dropDuplicates([name])
     return once.unionByName(again).drop(name)
