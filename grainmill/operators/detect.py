@@ -186,12 +186,12 @@ class _Scan:
             self.temp_names[str(int(temp))] = self.c_names[left]
         if right in self.info and left is not None:
             self.rename(right, left)
-            if {left, right} & (self.flowing | self.parent.keys()):
+            if any(name in names_ for name in (left, right) for names_ in (self.flowing, self.parent)):
                 self.flowing.add(left)
                 self.unite(right, left)
 
     def c_free(self, temp: str, _: str, text: str) -> None:
-        var = self.temp_names.get(str(int(temp))) or next((v for v in sorted(self.flowing) if v in self.info), None)
+        var = self.temp_names.get(str(int(temp))) or min((v for v in self.flowing if v in self.info), default=None)
         if var is None or (root := self.find(var)) in self.freed:
             return
         self.freed.add(root)

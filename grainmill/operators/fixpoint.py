@@ -146,7 +146,7 @@ class _Step:
 
     @staticmethod
     def drop(m: Memory, _: str, place: str) -> None:
-        m.cells = dict.fromkeys(m.cells, MASKS["FREED"])
+        m.set_all(MASKS["FREED"])
         m.assign(place, MASKS["FREED"])
 
     @staticmethod
@@ -193,13 +193,14 @@ def derived_marks(memory: Memory) -> dict[str, set[str]]:
     return out
 
 
-def run_program(program: list[tuple], entry: str, most_visits: int) -> list[tuple]:
+def run_program(program: list[tuple], entry: str, most_visits: int | None = None) -> list[tuple]:
     """The worklist over one program, rows of TAPE in order of (kind, node, n): the smallest node id in text order is next.
 
     A successor's state is its old one joined with the transfer of the current
     state; it is visited again if its memory or markers change.  An internal call
     remembers the caller and goes on in the callee; a return block takes the last
-    caller up again.
+    caller up again.  Without ``most_visits`` the bound grows with the program,
+    far beyond what one that settles needs: only endless recursion meets it.
     """
     step, control, following = _Step(program), {}, defaultdict(set)
     for _, kind, node, _, op, a, b, _ in program:
@@ -208,6 +209,7 @@ def run_program(program: list[tuple], entry: str, most_visits: int) -> list[tupl
         elif kind == "edge":
             following[node].add(a)
     following = {k: sorted(v) for k, v in following.items()}
+    most_visits = most_visits or 100_000 + 100 * len(control)
     marks: dict[str, dict[str, set[str]]] = {entry: {}}
     memories = {entry: step(entry, Memory(), marks[entry])}
     queue, waiting, visits, callers = [entry], {entry}, [], []
@@ -251,7 +253,7 @@ def run_program(program: list[tuple], entry: str, most_visits: int) -> list[tupl
     return [(program[0][0], *r) for r in rows]
 
 
-def fixpoint(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope: str = "details", most_visits: int = 100_000) -> DataFrame:
+def fixpoint(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope: str = "details", most_visits: int | None = None) -> DataFrame:
     """The fixpoint of every program, as rows of RESULT by kind.
 
     state: (node_id, alloc, mask); visit: (node_id, n); marked: nodes with

@@ -196,14 +196,19 @@ def node_list(blocks: DataFrame, calls: DataFrame, c_nodes: DataFrame | None) ->
     return united.withColumn("seq", F.row_number().over(order) - 1).select("program_id", "seq", "node_id", "node_type", *columns)
 
 
-def c_edges_of_sites(c_edges: DataFrame, calls: DataFrame, nodes: DataFrame, taken: DataFrame) -> DataFrame:
-    """(program_id, source, destination, label) copies of the C edges for each call site, both ends existing and the pair not ``taken``."""
-    sites = calls.where("call_kind = 'ffi'").select("program_id", "called", "site").distinct()
-    copies = sites.join(c_edges, "program_id").select("program_id", names.c_node(F.col("called"), F.col("source"), F.col("site")).alias("source"), names.c_node(F.col("called"), F.col("destination"), F.col("site")).alias("destination"))
-    there = nodes.where("node_type = 'Llvm'").select("program_id", "node_id").distinct()
-    for end in ("source", "destination"):
-        copies = copies.join(there.withColumnRenamed("node_id", end), ["program_id", end], "left_semi")
-    fresh = copies.dropDuplicates(["program_id", "source", "destination"]).join(taken.select("program_id", "source", "destination").distinct(), ["program_id", "source", "destination"], "left_anti")
+def c_edges_of_sites(c_edges: DataFrame, nodes: DataFrame, taken: DataFrame) -> DataFrame:
+    """(program_id, source, destination, label) copies of the C edges for each call site, both ends existing and the pair not ``taken``.
+
+    An edge meets the copies of its own source node, so that a call site costs
+    the edges of the function that it calls, not those of the program.
+    """
+    part = lambda i: F.regexp_extract("node_id", r"^llvm::(.*?)::node([0-9]+)::(.*)$", i)
+    there = nodes.where("node_type = 'Llvm'").select("program_id", part(1).alias("called"), part(2).alias("number"), part(3).alias("site")).distinct()
+    ends = c_edges.select("program_id", F.col("source").cast("string").alias("number"), F.col("destination").cast("string").alias("to")).distinct()
+    out = there.join(ends, ["program_id", "number"])
+    both = out.join(there.withColumnRenamed("number", "to"), ["program_id", "called", "site", "to"], "left_semi")
+    copies = both.select("program_id", *(names.c_node(F.col("called"), F.col(c), F.col("site")).alias(n) for c, n in (("number", "source"), ("to", "destination"))))
+    fresh = copies.join(taken.select("program_id", "source", "destination").distinct(), ["program_id", "source", "destination"], "left_anti")
     return fresh.select("program_id", "source", "destination", F.lit("LLVM").alias("label"))
 
 
@@ -234,19 +239,36 @@ def build_graph(blocks: DataFrame, ffi: DataFrame, c_nodes: DataFrame | None = N
     edges = rules.select("program_id", "source", "destination", "label", F.struct(F.lit(0).alias("late"), *order).alias("rank"))
     if c_edges is not None and bodies is not None:
         late = F.struct(F.lit(1).alias("late"), F.col("source").alias("function"), F.lit(0).alias("block_id"), F.lit(0).alias("rule"), F.lit(0).alias("slot"))
-        edges = edges.union(c_edges_of_sites(c_edges, calls, nodes, rules).select("program_id", "source", "destination", "label", late.alias("rank")))
+        edges = edges.union(c_edges_of_sites(c_edges, nodes, rules).select("program_id", "source", "destination", "label", late.alias("rank")))
     placed = edges.withColumn("pos", F.row_number().over(Window.partitionBy("program_id").orderBy("rank", "destination")) - 1).drop("rank")
     return nodes, labelled(placed, node_labels(nodes)).select("program_id", "pos", "source", "destination", "label", "source_label", "destination_label")
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """(node) reached from the starts along edges (source, destination); each round joins only what the last one found."""
-    found = written(starts.select("node").distinct(), "reach")
-    frontier = found
-    for _ in range(most_rounds):
-        ahead = edges.join(frontier, edges["source"] == frontier["node"]).select(F.col("destination").alias("node")).distinct()
-        frontier = written(ahead.join(found, "node", "left_anti"), "reach")
-        if frontier.isEmpty():
-            return found
-        found = found.union(frontier)
-    raise RuntimeError(f"reachability did not settle in {most_rounds} rounds")
+def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node) reached from the starts along edges (source, destination).
+
+    Chains, nodes with one way out, are run along by doubled strides: a chain of
+    n hops costs log n joins.  A round then takes one step from the nodes with
+    several ways out, so rounds are as many as the forks on the longest path.
+    """
+    ways = written(edges.where("source IS NOT NULL AND destination IS NOT NULL").select("source", "destination").distinct(), "ways")
+    single = ways.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("destination").alias("destination"))
+    forks = ways.join(single.where("n > 1").select("source"), "source", "left_semi")
+    strides = [written(single.where("n = 1").select(F.col("source").alias("node"), F.col("destination").alias("ahead")), "stride")]
+    longest = strides[0].count()
+    while 1 << len(strides) < longest:
+        last = strides[-1]
+        double = written(last.join(last.select(F.col("node").alias("ahead"), F.col("ahead").alias("beyond")), "ahead").select("node", F.col("beyond").alias("ahead")), "stride")
+        if double.isEmpty():
+            break
+        strides.append(double)
+    found = None
+    frontier = written(starts.select("node").where("node IS NOT NULL").distinct(), "reach")
+    while not frontier.isEmpty():
+        for stride in strides:  # each number of hops is a sum of strides
+            frontier = written(frontier.union(frontier.join(stride, "node").select(F.col("ahead").alias("node"))).distinct(), "reach")
+        run = frontier
+        found = run if found is None else written(found.union(run).distinct(), "reach")
+        step = forks.join(run.withColumnRenamed("node", "source"), "source", "left_semi").select(F.col("destination").alias("node")).distinct()
+        frontier = written(step.join(found, "node", "left_anti"), "reach")
+    return frontier if found is None else found

@@ -51,37 +51,59 @@ def first_allocation(state: DataFrame, order: str) -> DataFrame:
 
 
 class Memory:
-    """One memory in a fold over a program; alias sets are sorted tuples, and set order is tuple order."""
+    """One memory in a fold over a program; alias sets are sorted tuples, and set order is tuple order.
 
-    __slots__ = ("cells",)
+    ``cells`` changes through the methods only, which keep an index from
+    variables to the sets that hold them, made when it is first asked for.
+    """
+
+    __slots__ = ("cells", "_sets")
 
     def __init__(self, cells: dict[Names, int] | None = None):
         self.cells = dict(cells or {})
+        self._sets: dict[str, set[Names]] | None = None
 
     def copy(self) -> "Memory":
         return Memory(self.cells)
 
     def holder(self, var: str) -> Names | None:
         """The first alias set that holds a variable."""
-        return min((names for names in self.cells if var in names), default=None)
+        if self._sets is None:
+            self._sets = {}
+            for names in self.cells:
+                for v in names:
+                    self._sets.setdefault(v, set()).add(names)
+        return min(self._sets.get(var, ()), default=None)
+
+    def _remove(self, names: Names) -> None:
+        del self.cells[names]
+        for v in names if self._sets is not None else ():
+            self._sets[v].discard(names)
 
     def value(self, var: str) -> int:
         names = self.holder(var)
         return MASKS["BOTTOM"] if names is None else self.cells[names]
 
     def put(self, names: Iterable[str], mask: int) -> None:
-        self.cells[tuple(sorted(set(names)))] = mask
+        names = tuple(sorted(set(names)))
+        self.cells[names] = mask
+        for v in names if self._sets is not None else ():
+            self._sets.setdefault(v, set()).add(names)
+
+    def set_all(self, mask: int) -> None:
+        """Every alias set gets one value."""
+        self.cells = dict.fromkeys(self.cells, mask)
 
     def replace(self, names: Names, by: Iterable[str], mask: int) -> None:
         """The alias set ``names`` gives way to ``by``, if that is not empty."""
-        del self.cells[names]
+        self._remove(names)
         if by := {*by}:
             self.put(by, mask)
 
     def forget(self, var: str) -> None:
         """The whole alias set of a variable goes."""
         if (names := self.holder(var)) is not None:
-            del self.cells[names]
+            self._remove(names)
 
     def assign(self, var: str, mask: int) -> None:
         """Gives a variable a value.
@@ -112,8 +134,9 @@ class Memory:
                 self.replace(of_target, {*of_target} - {target}, self.cells[of_target])
             return
         of_source = self.holder(source)
-        del self.cells[of_source]
-        self.cells.pop(of_target, None)
+        self._remove(of_source)
+        if of_target is not None and of_target != of_source:
+            self._remove(of_target)
         self.put({*of_source, *(of_target or (target,))}, mask)
 
     def union(self, other: "Memory") -> "Memory":

@@ -25,12 +25,12 @@ class Analysis:
     report: DataFrame
 
 
-def analyze(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope: str = "details", most_visits: int = 100_000) -> Analysis:
+def analyze(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope: str = "details", most_visits: int | None = None) -> Analysis:
     """Analyses every program of the graph tables.
 
     ``entry`` is the node the fixpoint starts from; ``match_scope`` is explained
-    at ``call_class``; a program that needs more than ``most_visits`` visits is
-    an error.
+    at ``call_class``; a program that needs more than ``most_visits`` visits
+    (unset: far more than it has nodes) is an error.
     """
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     state = written(fixpoint(nodes, edges, entry, match_scope, most_visits), "fixpoint")

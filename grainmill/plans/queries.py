@@ -26,7 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def _query(sql: str | None = None):
+def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
         QUERIES[f.__name__] = f
         if sql:
@@ -53,19 +53,19 @@ def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.groupBy("user_id", "day").agg(lattice.lub(F.col("mask")).alias("mask"))
 
 
-_MASK_SQL = "CASE event_type " + " ".join(f"WHEN '{e}' THEN {lattice.MASKS[v]}" for e, v in VALUES.items()) + " END"
-_KNOWN = ", ".join(map(str, lattice.MASKS.values()))
-_NORMAL = lambda x: f"CASE WHEN {x} IN ({_KNOWN}) THEN {x} ELSE 31 END"
-_DECODE = lambda x: "CASE " + x + " " + " ".join(f"WHEN {m} THEN '{n}'" for n, m in lattice.MASKS.items()) + " ELSE 'TOP' END"
+# The SQL spells masks and classes out, so that a wrong one here does not pass by being wrong there too.
+_MASK_SQL = "CASE event_type WHEN 'signup' THEN 1 WHEN 'click' THEN 3 WHEN 'view' THEN 5 WHEN 'purchase' THEN 9 WHEN 'error' THEN 16 END"
+_NORMAL = lambda x: f"CASE WHEN {x} IN (0, 1, 3, 5, 9, 16, 31) THEN {x} ELSE 31 END"
+_DECODE = lambda x: f"CASE {x} WHEN 0 THEN 'BOTTOM' WHEN 1 THEN 'ALLOC' WHEN 3 THEN 'MB' WHEN 5 THEN 'IMMB' WHEN 9 THEN 'MV' WHEN 16 THEN 'FREED' ELSE 'TOP' END"
 _DAYS_SQL = f"days AS (SELECT user_id, CAST(ts AS DATE) AS day, {_NORMAL(f'bit_or({_MASK_SQL})')} AS mask FROM events GROUP BY ALL)"
 
 
-@_query(f"WITH {_DAYS_SQL} SELECT user_id, CAST(day AS VARCHAR) AS day, {_DECODE('mask')} AS value FROM days")
+@query(f"WITH {_DAYS_SQL} SELECT user_id, CAST(day AS VARCHAR) AS day, {_DECODE('mask')} AS value FROM days")
 def lattice_lub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _days(spark, sf_dir).select("user_id", F.col("day").cast("string").alias("day"), lattice.decode(F.col("mask")).alias("value"))
 
 
-@_query(f"""WITH {_DAYS_SQL} SELECT a.user_id, CAST(a.day AS VARCHAR) AS day,
+@query(f"""WITH {_DAYS_SQL} SELECT a.user_id, CAST(a.day AS VARCHAR) AS day,
     CASE WHEN a.mask = b.mask THEN '=' WHEN b.mask = 31 OR (a.mask | b.mask) = b.mask THEN '<' WHEN a.mask = 31 OR (a.mask | b.mask) = a.mask THEN '>' END AS relation
     FROM days a JOIN days b ON a.user_id = b.user_id AND b.day = a.day + 1""")
 def lattice_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def _memories(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [each.where(F.col("odd") == k).drop("odd") for k in (1, 0)]
 
 
-@_query(f"""WITH {_HOURS_SQL}, both_sides AS (
+@query(f"""WITH {_HOURS_SQL}, both_sides AS (
     SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.var, b.var) AS var, coalesce(a.m.mask, 0) | coalesce(b.m.mask, 0) AS mask,
            list_sort(list_distinct(list_concat(coalesce(a.m.alloc, []), coalesce(b.m.alloc, [])))) AS alloc
     FROM (SELECT * FROM vars WHERE odd = 1) a FULL JOIN (SELECT * FROM vars WHERE odd = 0) b ON a.user_id = b.user_id AND a.var = b.var)
@@ -97,7 +97,7 @@ def memory_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("user_id", F.array_join("alloc", ",").alias("alloc"), lattice.decode(F.col("mask")).alias("value"))
 
 
-@_query(f"""WITH {_HOURS_SQL}, pairs AS (
+@query(f"""WITH {_HOURS_SQL}, pairs AS (
     SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(a.m.mask, 0) AS x, coalesce(b.m.mask, 0) AS y
     FROM (SELECT * FROM vars WHERE odd = 1) a FULL JOIN (SELECT * FROM vars WHERE odd = 0) b ON a.user_id = b.user_id AND a.var = b.var)
     SELECT user_id, CASE WHEN bool_and(x = y) THEN 'Equal' WHEN bool_and(y = 31 OR (x | y) = y) THEN 'Less' END AS relation FROM pairs GROUP BY user_id""")
@@ -105,20 +105,12 @@ def memory_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.compare_memories(*_memories(spark, sf_dir), ["user_id"]).withColumnRenamed("order", "relation")
 
 
-@_query("""WITH RECURSIVE edges AS (
-        SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_quantity = 50 AND l_discount = 0.1
-    ), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-    reach(node, other) AS (SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
-    roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
+@query("""WITH RECURSIVE edges AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    roots(node, root) USING KEY (node) AS (SELECT DISTINCT a, a FROM both_ways
+        UNION (SELECT e.a, min(v.root) FROM roots v JOIN both_ways e ON e.b = v.node JOIN recurring.roots u ON u.node = e.a GROUP BY e.a, u.root HAVING min(v.root) < u.root))
     SELECT root, '{' || string_agg(node, ', ' ORDER BY node) || '}' AS group_key FROM roots GROUP BY root""")
 def alias_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines that the recursive SQL holds only; ``alias_groups_all`` takes every line."""
-    return _groups_of(_read(spark, sf_dir, "lineitem").where("l_quantity = 50 AND l_discount = 0.1"))
-
-
-@_query()
-def alias_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups over every order line.  No SQL: the recursion holds a row for each pair of nodes of a component."""
+    """Groups of parts and suppliers over every order line."""
     return _groups_of(_read(spark, sf_dir, "lineitem"))
 
 
@@ -153,22 +145,22 @@ _REPORT_SQL = """WITH vars AS (
                min_by(span, name) FILTER (WHERE has_use) AS use_span, min_by(span, name) FILTER (WHERE has_free) AS free_span FROM vars GROUP BY alloc_key)"""
 
 
-@_query(_REPORT_SQL + " SELECT alloc_key, frees, used, use_span, free_span FROM report")
+@query(_REPORT_SQL + " SELECT alloc_key, frees, used, use_span, free_span FROM report")
 def group_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).select("alloc_key", "frees", "used", "use_span", "free_span")
 
 
-@_query(_REPORT_SQL + " SELECT alloc_key, frees FROM report WHERE frees >= 2")
+@query(_REPORT_SQL + " SELECT alloc_key, frees FROM report WHERE frees >= 2")
 def double_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).where("double_free").select("alloc_key", "frees")
 
 
-@_query(_REPORT_SQL + " SELECT alloc_key, used FROM report WHERE frees = 0")
+@query(_REPORT_SQL + " SELECT alloc_key, used FROM report WHERE frees = 0")
 def never_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).where("never_free").select("alloc_key", "used")
 
 
-@_query(_REPORT_SQL + """ SELECT alloc_key, use_span, free_span FROM report WHERE used AND frees > 0 AND free_span IS NOT NULL
+@query(_REPORT_SQL + """ SELECT alloc_key, use_span, free_span FROM report WHERE used AND frees > 0 AND free_span IS NOT NULL
     AND CAST(split_part(use_span, ':', -4) AS BIGINT) > CAST(split_part(free_span, ':', -4) AS BIGINT)""")
 def use_after_free(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).where("use_after_free").select("alloc_key", "use_span", "free_span")
@@ -183,18 +175,12 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "part").select("p_partkey", F.replace(text, F.lit("%"), F.col("p_brand")).alias("text"))
 
 
-def _any_sql(patterns: tuple[str, ...]) -> str:
-    return "regexp_matches(text, '" + "|".join(f"(?:{p})" for p in patterns) + "')"
-
-
-@_query(f"""SELECT p_partkey, CASE WHEN contains(text, 'NulError>::expect') OR contains(text, 'std::ffi::CStr::from_ptr::<''_>') THEN 'rename'
-    WHEN {_any_sql(classify.ALLOC)} THEN 'alloc' WHEN {_any_sql(classify.MOVED_OUT)} THEN 'moved' WHEN {_any_sql(classify.RE_OWNED)} THEN 'reowned'
-    WHEN contains(text, 'drop') THEN 'drop' ELSE 'other' END AS class FROM (SELECT p_partkey, replace({_TEXT_SQL}, '%', p_brand) AS text FROM part)""")
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'alloc' WHEN 1 THEN 'moved' WHEN 2 THEN 'reowned' WHEN 3 THEN 'drop' WHEN 4 THEN 'other' WHEN 5 THEN 'moved' ELSE 'rename' END AS class FROM part")
 def first_match_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("p_partkey", classify.call_class(F.col("text"), F.col("text")).alias("class"))
 
 
-@_query(r"""SELECT p_partkey, CASE WHEN contains(text, '::new') AND NOT contains(text, 'Wrap') THEN 'yellow' WHEN contains(text, 'drop') THEN 'green'
+@query(r"""SELECT p_partkey, CASE WHEN contains(text, '::new') AND NOT contains(text, 'Wrap') THEN 'yellow' WHEN contains(text, 'drop') THEN 'green'
     WHEN contains(text, 'into_raw') OR contains(text, 'std::mem::forget') THEN 'red' ELSE 'gray89' END AS colour
     FROM (SELECT p_partkey, replace(""" + _TEXT_SQL.replace("'std::boxed::Box::<%>::new'", "'std::boxed::Box::<i32>::new'") + """, '%', p_brand) AS text FROM part)""")
 def node_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,13 +188,13 @@ def node_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _calls(spark, sf_dir).select("p_partkey", classify.node_colour(text, F.lit("Mir"), F.lit("")).alias("colour"))
 
 
-@_query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS line FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey AS line FROM lineitem")
 def span_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.concat(F.lit("/src/f.rs:"), "l_suppkey", F.lit(":26: 39:45 (#0)"))
     return _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", names.span_line(span).alias("line"))
 
 
-@_query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '_' || o_custkey WHEN 1 THEN '' ELSE '_' || o_orderkey END AS moved,
+@query("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '_' || o_custkey WHEN 1 THEN '' ELSE '_' || o_orderkey END AS moved,
     CASE o_orderkey % 3 WHEN 1 THEN '_' || o_custkey ELSE '' END AS copied FROM orders""")
 def moved_var(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind, customer, order = F.col("o_orderkey") % 3, F.concat(F.lit("_"), "o_custkey"), F.concat(F.lit("_"), "o_orderkey")
@@ -220,7 +206,7 @@ def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("program_id"), F.col("c_custkey").cast("string").alias("function"))
 
 
-@_query("SELECT c_nationkey::VARCHAR AS program_id, c_custkey::VARCHAR AS function FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
+@query("SELECT c_nationkey::VARCHAR AS program_id, c_custkey::VARCHAR AS function FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')")
 def ffi_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     urgent = _read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").cast("string").alias("function"))
     declared = _functions(spark, sf_dir).join(urgent.distinct(), "function", "left_semi").select("program_id", "function")
@@ -265,19 +251,19 @@ def _block_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _blocks(spark, sf_dir).select("program_id", F.col("block_id").alias("seq"), names.mir_node(F.col("function"), F.col("block_id")).alias("node_id"), F.lit("Mir").alias("node_type"), F.struct("block_id", "statements", "terminator").alias("mir"), F.lit(None).cast(schemas.C_NODE).alias("llvm"), F.lit(None).cast(schemas.DUMMY).alias("dummy"))
 
 
-@_query(_BLOCKS_SQL + " SELECT source, destination, label FROM edges")
+@query(_BLOCKS_SQL + " SELECT source, destination, label FROM edges")
 def edge_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir).select("source", "destination", "label")
 
 
-@_query(_BLOCKS_SQL + """ SELECT e.source, e.destination, e.label, 'Mir bb' || a.l_linenumber AS source_label, 'Mir bb' || b.l_linenumber AS destination_label
+@query(_BLOCKS_SQL + """ SELECT e.source, e.destination, e.label, 'Mir bb' || a.l_linenumber AS source_label, 'Mir bb' || b.l_linenumber AS destination_label
     FROM edges e LEFT JOIN t a ON a.source = e.source LEFT JOIN t b ON b.source = e.destination""")
 def edge_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir).select("program_id", "source", "destination", "label")
     return graph.labelled(edges, graph.node_labels(_block_nodes(spark, sf_dir))).select("source", "destination", "label", "source_label", "destination_label")
 
 
-@_query(_BLOCKS_SQL + " SELECT t.source AS node_id, '_' || l_linenumber AS variable FROM t WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.destination = t.source AND contains(e.label, 'unwind'))")
+@query(_BLOCKS_SQL + " SELECT t.source AS node_id, '_' || l_linenumber AS variable FROM t WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.destination = t.source AND contains(e.label, 'unwind'))")
 def skip_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _block_nodes(spark, sf_dir).where("mir.terminator.kind = 'Drop'"), _edges(spark, sf_dir)
     unwound = edges.where(F.col("label").contains("unwind")).select(F.col("destination").alias("node_id"))
@@ -285,29 +271,19 @@ def skip_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("node_id", classify.dropped_variable(F.col("mir.terminator.details")).alias("variable"))
 
 
-@_query(_BLOCKS_SQL + """, ordered AS (SELECT source AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber <> 3, l_linenumber) AS scan FROM t) SELECT node_id, scan FROM ordered""")
+@query(_BLOCKS_SQL + """, ordered AS (SELECT source AS node_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber <> 3, l_linenumber) AS scan FROM t) SELECT node_id, scan FROM ordered""")
 def scan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order is a program here, and its third line comes first."""
     nodes = _block_nodes(spark, sf_dir).select(F.split_part("node_id", F.lit("::"), F.lit(2)).alias("program_id"), "seq", F.col("node_id").alias("full"), F.split_part("node_id", F.lit("::"), F.lit(3)).alias("node_id"))
     return detect.scan_order(nodes, "bb3").select(F.col("full").alias("node_id"), "scan")
 
 
-@_query(r"""WITH sites AS (SELECT DISTINCT 'f' || l_suppkey AS called, 'rust::' || l_orderkey || '::bb' || l_linenumber AS site FROM lineitem WHERE l_quantity = 50),
+@query(r"""WITH sites AS (SELECT DISTINCT 'f' || l_suppkey AS called, 'rust::' || l_orderkey || '::bb' || l_linenumber AS site FROM lineitem),
     c_edges AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation),
     there AS (SELECT 'llvm::' || called || '::node' || n_nationkey || '::' || site AS id FROM sites, nation WHERE n_nationkey % 3 <> 0)
     SELECT DISTINCT 'llvm::' || called || '::node' || a || '::' || site AS source, 'llvm::' || called || '::node' || b || '::' || site AS destination FROM sites, c_edges
     WHERE 'llvm::' || called || '::node' || a || '::' || site IN (SELECT id FROM there) AND 'llvm::' || called || '::node' || b || '::' || site IN (SELECT id FROM there)""")
 def callsite_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of a small C graph, nations and their regions, for the call sites of its SQL: lines of quantity 50. ``callsite_clone_all`` takes every line."""
-    return _clones_of(spark, sf_dir, _read(spark, sf_dir, "lineitem").where("l_quantity = 50"))
-
-
-@_query(r"""WITH sites AS (SELECT DISTINCT 'f' || l_suppkey AS called, 'rust::' || l_orderkey || '::bb' || l_linenumber AS site FROM lineitem),
-    c_edges AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation),
-    there AS (SELECT 'llvm::' || called || '::node' || n_nationkey || '::' || site AS id FROM sites, nation WHERE n_nationkey % 3 <> 0)
-    SELECT DISTINCT 'llvm::' || called || '::node' || a || '::' || site AS source, 'llvm::' || called || '::node' || b || '::' || site AS destination FROM sites, c_edges
-    WHERE 'llvm::' || called || '::node' || a || '::' || site IN (SELECT id FROM there) AND 'llvm::' || called || '::node' || b || '::' || site IN (SELECT id FROM there)""")
-def callsite_clone_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies of a small C graph, nations and their regions, with every order line as a call site."""
     return _clones_of(spark, sf_dir, _read(spark, sf_dir, "lineitem"))
 
@@ -319,10 +295,10 @@ def _clones_of(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     bodies = nation.where("n_nationkey % 3 <> 0").select(F.lit("all").alias("program_id"), "n_nationkey")
     nodes = calls.join(bodies, "program_id").select("program_id", F.lit("Llvm").alias("node_type"), names.c_node(F.col("called"), F.col("n_nationkey"), F.col("site")).alias("node_id"))
     taken = spark.createDataFrame([], "program_id string, source string, destination string")
-    return graph.c_edges_of_sites(c_edges, calls, nodes, taken).select("source", "destination")
+    return graph.c_edges_of_sites(c_edges, nodes, taken).select("source", "destination")
 
 
-@_query("""WITH fns AS (SELECT 'f' || (o_orderkey % 1000) || '::{closure#' || (o_orderkey % 7) || '}' AS closure, 'f' || (o_orderkey % 1000) AS owner FROM orders)
+@query("""WITH fns AS (SELECT 'f' || (o_orderkey % 1000) || '::{closure#' || (o_orderkey % 7) || '}' AS closure, 'f' || (o_orderkey % 1000) AS owner FROM orders)
     SELECT owner AS function, min(closure) AS closure FROM fns GROUP BY owner""")
 def closure_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("f"), F.col("o_orderkey") % 1000)
@@ -330,7 +306,7 @@ def closure_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.closures(blocks).select("function", "closure")
 
 
-@_query("""WITH RECURSIVE e AS (SELECT conv_id || '/' || turn AS source, conv_id || '/' || (turn + 1) AS destination FROM conversations),
+@query("""WITH RECURSIVE e AS (SELECT conv_id || '/' || turn AS source, conv_id || '/' || (turn + 1) AS destination FROM conversations),
     reach(node) AS (SELECT DISTINCT conv_id || '/' || turn FROM conversations WHERE turn = 1 UNION SELECT e.destination FROM reach r JOIN e ON r.node = e.source) SELECT node FROM reach""")
 def chain_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _read(spark, sf_dir, "conversations")
@@ -339,7 +315,7 @@ def chain_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(written(edges, "turns"), turns.where("turn = 1").select(at(F.col("turn")).alias("node")))
 
 
-@_query("""WITH last_of AS (SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS last FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey),
+@query("""WITH last_of AS (SELECT o_custkey, max_by(o_orderkey, o_orderkey) AS last FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_custkey),
     found AS (SELECT l.o_custkey, max(o.o_orderkey) AS node FROM last_of l JOIN orders o ON o.o_custkey = l.o_custkey AND starts_with(o.o_orderkey::VARCHAR, l.last::VARCHAR) WHERE o.o_orderstatus <> 'O' OR o.o_orderkey = l.last GROUP BY l.o_custkey)
     SELECT o_custkey::VARCHAR AS program_id, node::VARCHAR AS node_id FROM found""")
 def last_node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -351,26 +327,20 @@ def last_node_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.last_node(orders, edges, result).select("program_id", "node_id")
 
 
-@_query(f"WITH {_HOURS_SQL} SELECT DISTINCT user_id, unnest(alloc) AS var, CASE mask WHEN 9 THEN 'assign' ELSE 'free' END AS marker FROM memories WHERE odd = 1 AND mask IN (9, 16)")
+@query(f"WITH {_HOURS_SQL} SELECT DISTINCT user_id, unnest(alloc) AS var, CASE mask WHEN 9 THEN 'assign' ELSE 'free' END AS marker FROM memories WHERE mask IN (9, 16)")
 def taint_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers of the odd days, as in its SQL; ``taint_markers_all`` has those of all days."""
-    return fixpoint.taint_markers(_memories(spark, sf_dir)[0])
-
-
-@_query(f"WITH {_HOURS_SQL} SELECT DISTINCT user_id, unnest(alloc) AS var, CASE mask WHEN 9 THEN 'assign' ELSE 'free' END AS marker FROM memories WHERE mask IN (9, 16)")
-def taint_markers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers of the memories of the odd days and of the even ones."""
     odd, even = _memories(spark, sf_dir)
     return fixpoint.taint_markers(odd.unionByName(even))
 
 
-@_query(_REPORT_SQL + """, flags AS (SELECT used AND frees > 0 AND free_span IS NOT NULL AND coalesce(CAST(split_part(use_span, ':', -4) AS BIGINT) > CAST(split_part(free_span, ':', -4) AS BIGINT), FALSE) AS u, frees >= 2 AS d, frees = 0 AS n, alloc_key FROM report)
+@query(_REPORT_SQL + """, flags AS (SELECT used AND frees > 0 AND free_span IS NOT NULL AND coalesce(CAST(split_part(use_span, ':', -4) AS BIGINT) > CAST(split_part(free_span, ':', -4) AS BIGINT), FALSE) AS u, frees >= 2 AS d, frees = 0 AS n, alloc_key FROM report)
     SELECT alloc_key, CASE WHEN NOT (u OR d OR n) THEN 'clean' ELSE concat_ws('+', CASE WHEN u THEN 'use' END, CASE WHEN d THEN 'double' END, CASE WHEN n THEN 'never' END) END AS finding FROM flags""")
 def report_case(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _report(spark, sf_dir).select("alloc_key", sinks.report_case(F.col("use_after_free"), F.col("double_free"), F.col("never_free")).alias("finding"))
 
 
-@_query(_BLOCKS_SQL + """ SELECT '    "' || source || '" -> "' || destination || '" [label="' || label || '"];' AS line FROM edges""")
+@query(_BLOCKS_SQL + """ SELECT '    "' || source || '" -> "' || destination || '" [label="' || label || '"];' AS line FROM edges""")
 def dot_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _edges(spark, sf_dir).select("program_id", "source", "destination", "label", F.lit(0).alias("pos"))
     return sinks.dot_edges(edges).select("line")
@@ -399,14 +369,14 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tuple(written(t, "graph") for t in graph.build_graph(written(_programs(spark, sf_dir), "blocks"), none))
 
 
-@_query()
+@query()
 def fixpoint_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: the fold depends on its order."""
     state = fixpoint.fixpoint(*_graph(spark, sf_dir)).where("kind = 'state'")
     return state.select("program_id", "node_id", F.array_join("alloc", ",").alias("alloc"), lattice.decode(F.col("mask")).alias("value"))
 
 
-@_query()
+@query()
 def detect_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL: the fold depends on its order."""
     nodes, edges = _graph(spark, sf_dir)

@@ -1,9 +1,12 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from grainmill.functions import lattice
+from grainmill.operators.detect import fold_events
 from grainmill.operators.fixpoint import fixpoint, taint_markers
 from grainmill.operators.graph import build_graph, reachable
 from grainmill.operators.memory import Memory
@@ -186,6 +189,55 @@ def test_reachable(spark):
     assert sorted(r.node for r in reachable(edges, spark.createDataFrame([(1,)], "node int")).collect()) == [1, 2, 3]
 
 
+def test_long_chains_and_forks_are_reached(spark):
+    rng = random.Random(3)
+    pairs = [(i, i + 1) for i in range(5000)] + [(7000 + i, 7000 + (i + 1) % 9) for i in range(9)]
+    pairs += [(rng.randint(6000, 6060), rng.randint(6000, 6060)) for _ in range(70)] + [(5000, 6000), (None, 1), (1, None), (3, 3)]
+    ways = {}
+    for a, b in pairs:
+        ways.setdefault(a, set()).add(b)
+    seen, front = set(), [0, 7003]
+    while front:
+        node = front.pop()
+        if node is not None and node not in seen:
+            seen.add(node)
+            front += ways.get(node, ())
+    edges = spark.createDataFrame(pairs, "source int, destination int")
+    found = reachable(edges, spark.createDataFrame([(0,), (7003,), (None,)], "node int"))
+    assert sorted(r.node for r in found.collect()) == sorted(seen)
+    assert reachable(edges, spark.createDataFrame([], "node int")).count() == 0
+
+
+def test_many_c_assignments_fold_in_seconds():
+    events = [("p", -1, 0, "seed", f"Local(_{i})", None, None, None) for i in range(2000)]
+    events += [("p", i, 0, "enter_c", f"Local(_{i})", f"{i}@s", None, None) for i in range(2000)]
+    events += [("p", 2000 + i, 0, "c_assign", str(10_000 + i), str(i % 2000 if i < 2000 else 10_000 + i - 2000), str(i), None) for i in range(20_000)]
+    began = time.process_time()
+    rows = fold_events(events)
+    assert time.process_time() - began < 5 and sum(r[1] == "var" for r in rows) == 2000
+
+
+def test_an_index_of_alias_sets_follows_them():
+    rng = random.Random(9)
+    masks = [*lattice.MASKS.values()]
+    for _ in range(60):
+        memory = Memory()
+        for _ in range(40):
+            a, b = (f"v{rng.randint(0, 8)}" + rng.choice(["", ".f"]) for _ in range(2))
+            step = rng.randint(0, 4)
+            if step == 0:
+                memory.assign(a, rng.choice(masks))
+            elif step == 1:
+                memory.propagate(a, b)
+            elif step == 2:
+                memory.forget(a)
+            elif step == 3:
+                memory.put((a, b), rng.choice(masks[1:]))
+            else:
+                memory.set_all(masks[5])
+            assert all(memory.holder(v) == min((n for n in memory.cells if v in n), default=None) for v in (a, b, "v0", "v1.f"))
+
+
 def test_file_listing_and_targets(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a" / "x.c").write_text("int x;")

@@ -89,6 +89,45 @@ def test_written_tables_and_their_removal(spark):
     assert clean(spark) >= 1 and clean(spark) == 0
 
 
+def test_clean_takes_the_own_job_only(spark, monkeypatch):
+    from pathlib import Path
+
+    from grainmill.plans import lineage
+
+    own = lineage._job(spark)
+    monkeypatch.setattr(lineage, "_job", lambda _: "another_job")
+    other = lineage.written(spark.range(3), "numbers")
+    lineage.bucketed(spark.range(3), 2, ["id"], "numbers")
+    monkeypatch.setattr(lineage, "_job", lambda _: own)
+    mine = lineage.bucketed(spark.range(4), 2, ["id"], "numbers")
+    assert mine.count() == 4 and lineage.clean(spark) == 1
+    left = [t.name for t in spark.catalog.listTables(pattern="grainmill_*")]
+    assert len(left) == 1 and "another_job" in left[0] and other.count() == 3
+    assert not Path(lineage.job_folder(spark).removeprefix("file://")).exists()
+    monkeypatch.setattr(lineage, "_job", lambda _: "another_job")
+    assert lineage.clean(spark) == 2 and not spark.catalog.listTables(pattern="grainmill_*")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from grainmill.plans import lineage
+
+    class Session:
+        def __init__(self, master):
+            self.master, self.applicationId, self.kept = master, "a-1", {}
+
+        sparkContext = conf = property(lambda self: self)
+        getConf = lambda self: self
+        get = lambda self, key, default=None: self.kept.get(key, default)
+        set = lambda self, key, value: self.kept.update({key: value})
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            lineage.shared_folder(Session(master))
+    assert lineage.shared_folder(Session("local[4]")).startswith("file://")
+
+
 def test_without_the_optional_parts(tmp_path):
     """The rest imports and answers when the llm folders and the pipeline are gone."""
     import shutil

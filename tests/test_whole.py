@@ -34,23 +34,23 @@ def brute_groups(edges):
     return sorted((min(g), "{" + ", ".join(sorted(g)) + "}") for g in groups.values())
 
 
-def test_alias_groups_all_takes_every_line(spark, tables):
+def test_alias_groups_takes_every_line(spark, tables):
     for folder in [tables, *([SF] if os.path.isdir(SF) else [])]:
         lines = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
         want = brute_groups([(f"p{r.l_partkey}", f"s{r.l_suppkey}") for r in lines])
-        assert sorted(map(tuple, queries.QUERIES["alias_groups_all"](spark, folder).collect())) == want
+        assert sorted(map(tuple, queries.QUERIES["alias_groups"](spark, folder).collect())) == want
     assert brute_groups([("p10", "s1"), ("p10", "s2"), ("p11", "s2")]) == [("p10", "{p10, p11, s1, s2}")]
 
 
-def test_callsite_clone_all_takes_every_line(spark, tables):
+def test_callsite_clone_takes_every_line(spark, tables):
     spark.createDataFrame([(1, 2), (2, 1), (3, 1), (4, 0), (5, 4)], "n_nationkey long, n_regionkey long").write.parquet(f"{tables}/nation.parquet")
     lines = spark.read.parquet(f"{tables}/lineitem.parquet").collect()
     want = sorted(tuple(f"llvm::f{r.l_suppkey}::node{x}::rust::{r.l_orderkey}::bb{r.l_linenumber}" for x in edge) for r in lines for edge in ((1, 2), (2, 1), (5, 4)))
-    assert sorted(map(tuple, queries.QUERIES["callsite_clone_all"](spark, tables).collect())) == want
+    assert sorted(map(tuple, queries.QUERIES["callsite_clone"](spark, tables).collect())) == want
 
 
-def test_taint_markers_all_takes_even_days(spark, tables):
+def test_taint_markers_takes_even_days(spark, tables):
     events = [(1, "2024-01-01 05:00:00", "purchase"), (2, "2024-01-02 05:00:00", "purchase"), (3, "2024-01-04 05:00:00", "error"), (4, "2024-01-02 05:00:00", "view")]
     spark.createDataFrame(events, "user_id long, ts string, event_type string").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type").write.parquet(f"{tables}/events.parquet")
-    made = queries.QUERIES["taint_markers_all"](spark, tables).select("user_id", "var", "marker")
+    made = queries.QUERIES["taint_markers"](spark, tables).select("user_id", "var", "marker")
     assert sorted(map(tuple, made.collect())) == [(1, "purchase", "assign"), (2, "purchase", "assign"), (3, "error", "free")]
