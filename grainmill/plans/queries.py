@@ -289,13 +289,12 @@ def callsite_clone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _clones_of(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
-    calls = lines.select(F.lit("all").alias("program_id"), F.lit("ffi").alias("call_kind"), F.concat(F.lit("f"), "l_suppkey").alias("called"), names.mir_node(F.col("l_orderkey").cast("string"), F.col("l_linenumber")).alias("site")).distinct()
+    program, called = F.lit("all").alias("program_id"), F.concat(F.lit("f"), "l_suppkey").alias("called")
+    sites = lines.select("l_orderkey", "l_linenumber", "l_suppkey").distinct().select(program, called, names.mir_node(F.col("l_orderkey").cast("string"), F.col("l_linenumber")).alias("site"))
     nation = _read(spark, sf_dir, "nation")
-    c_edges = nation.select(F.lit("all").alias("program_id"), F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("destination"))
-    bodies = nation.where("n_nationkey % 3 <> 0").select(F.lit("all").alias("program_id"), "n_nationkey")
-    nodes = calls.join(bodies, "program_id").select("program_id", F.lit("Llvm").alias("node_type"), names.c_node(F.col("called"), F.col("n_nationkey"), F.col("site")).alias("node_id"))
-    taken = spark.createDataFrame([], "program_id string, source string, destination string")
-    return graph.c_edges_of_sites(c_edges, nodes, taken).select("source", "destination")
+    c_edges = nation.select(program, F.col("n_nationkey").alias("source"), F.col("n_regionkey").alias("destination"))
+    bodies = lines.select(program, called).distinct().join(nation.where("n_nationkey % 3 <> 0").select(program, F.col("n_nationkey").alias("number")), "program_id")
+    return graph.c_edges_of_sites(c_edges, bodies, sites).select("source", "destination")
 
 
 @query("""WITH fns AS (SELECT 'f' || (o_orderkey % 1000) || '::{closure#' || (o_orderkey % 7) || '}' AS closure, 'f' || (o_orderkey % 1000) AS owner FROM orders)

@@ -4,6 +4,7 @@ import os
 
 import pytest
 
+from grainmill.operators import graph
 from grainmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -54,3 +55,21 @@ def test_taint_markers_takes_even_days(spark, tables):
     spark.createDataFrame(events, "user_id long, ts string, event_type string").selectExpr("user_id", "CAST(ts AS TIMESTAMP) AS ts", "event_type").write.parquet(f"{tables}/events.parquet")
     made = queries.QUERIES["taint_markers"](spark, tables).select("user_id", "var", "marker")
     assert sorted(map(tuple, made.collect())) == [(1, "purchase", "assign"), (2, "purchase", "assign"), (3, "error", "free")]
+
+
+def test_callsite_clone_deals_sites_and_no_copies(spark, tables):
+    """What is shuffled is sites and functions; their copies, ten times as many, are made after the last exchange."""
+    spark.createDataFrame([(1, 2), (2, 1), (4, 1)], "n_nationkey long, n_regionkey long").write.mode("overwrite").parquet(f"{tables}/nation.parquet")
+    made = queries.QUERIES["callsite_clone"](spark, tables)
+    above, copied, _ = made._jdf.queryExecution().executedPlan().toString().partition("Generate explode")
+    assert copied and "Exchange" not in above
+
+
+def test_copies_take_each_function_apart(spark):
+    """Node 3 is in the second function only and node 9 in none, so their edges are copied there or nowhere."""
+    bodies = spark.createDataFrame([("p", "f", 1), ("p", "f", 2), ("p", "g", 2), ("p", "g", 3), ("q", "f", 1)], "program_id string, called string, number long")
+    c_edges = spark.createDataFrame([("p", 1, 2), ("p", 1, 2), ("p", 2, 3), ("p", 1, 3), ("p", 2, 9), ("q", 1, 2)], "program_id string, source long, destination long")
+    sites = spark.createDataFrame([("p", "f", "s1"), ("p", "g", "s1"), ("p", "f", "s2"), ("q", "f", "s1"), ("p", "h", "s3")], "program_id string, called string, site string")
+    made = graph.c_edges_of_sites(c_edges, bodies, sites).select("program_id", "source", "destination", "label").collect()
+    want = [("p", f"llvm::{f}::node{a}::{s}", f"llvm::{f}::node{b}::{s}", "LLVM") for f, a, b, s in (("f", 1, 2, "s1"), ("f", 1, 2, "s2"), ("g", 2, 3, "s1"))]
+    assert sorted(map(tuple, made)) == want
