@@ -33,7 +33,7 @@ def scan_order(nodes: DataFrame, first: str = ENTRY) -> DataFrame:
 
 def events(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Uses, drops, ownership changes, calls into and out of C, and frees, in EVENTS order (seq, i)."""
-    ordered = scan_order(nodes).drop("seq").withColumnRenamed("scan", "seq")
+    ordered = written(scan_order(nodes).drop("seq").withColumnRenamed("scan", "seq"), "scanned")  # nine kinds of events read it
     details, place, end = F.col("s.details"), names.trimmed(F.col("s.place")), F.lit(1 << 30)
     each = statements(ordered).withColumn("use", classify.use_pattern(details))
     any_use = details.contains("&(*") | details.contains("copy (*") | (details.contains("copy ") & details.contains(" as"))
@@ -254,9 +254,9 @@ def last_node(nodes: DataFrame, edges: DataFrame, result: DataFrame) -> DataFram
 
 def live_at_end(variables: DataFrame, groups: DataFrame, nodes: DataFrame, edges: DataFrame, result: DataFrame) -> DataFrame:
     """Variables that the last node still knows, by name or group, or that were freed; all of a program without such a node."""
-    end = last_node(nodes, edges, result).join(result.where("kind = 'marked'").select("program_id", "node_id"), ["program_id", "node_id"], "left_semi")
-    known = result.where("kind = 'taint'").join(end, ["program_id", "node_id"], "left_semi").select("program_id", F.col("var").alias("name")).distinct()
-    by_group = group_members(groups)
+    end = written(last_node(nodes, edges, result).join(result.where("kind = 'marked'").select("program_id", "node_id"), ["program_id", "node_id"], "left_semi"), "ends")
+    known = written(result.where("kind = 'taint'").join(end, ["program_id", "node_id"], "left_semi").select("program_id", F.col("var").alias("name")).distinct(), "known")
+    by_group = written(group_members(groups), "members")
     known_groups = by_group.withColumnRenamed("member", "name").join(known, ["program_id", "name"], "left_semi").select("program_id", "group_key").distinct().withColumn("group_known", F.lit(True))
     rows = variables.join(end.select("program_id", F.lit(True).alias("filtered")), "program_id", "left").join(known.withColumn("known", F.lit(True)), ["program_id", "name"], "left")
     rows = rows.join(by_group.withColumnRenamed("member", "name"), ["program_id", "name"], "left").join(known_groups, ["program_id", "group_key"], "left")
@@ -284,18 +284,18 @@ def classify_groups(report: DataFrame) -> DataFrame:
 
 
 def detect(nodes: DataFrame, edges: DataFrame, result: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, warnings) of every program from its graph and fixpoint.
+    """(findings, warnings) of every program from its graph and fixpoint, both read from written tables.
 
     ``findings`` is classify_groups; ``warnings`` lists frees on the C side of
     memory that Rust had not dropped, in order of the scan.
     """
     seeds = result.where("kind = 'taint' AND marker = 'assign'").select("program_id", names.trimmed(F.col("var")).alias("var")).distinct()
     state = result.where("kind = 'state'").join(nodes.groupBy("program_id", "node_id").agg(F.min("seq").alias("seq")), ["program_id", "node_id"], "left")
-    allocations = first_allocation(state.withColumn("seq", F.coalesce("seq", F.lit(2**31 - 1))), "seq")
+    allocations = written(first_allocation(state.withColumn("seq", F.coalesce("seq", F.lit(2**31 - 1))), "seq"), "allocations")
     before = F.lit(-1)
     tape = events(nodes, edges).union(seeds.select(*_event(before, F.lit(0), "seed", F.col("var")))).union(allocations.select(*_event(before, F.lit(0), "alloc", F.col("var"), members=F.col("alloc"))))
     folded = written(fold_groups(tape, "program_id", ["seq", "i"], fold_events, FOLDED), "folded")
     groups = alias_groups(folded.where("kind = 'member'"))
     live = live_at_end(folded.where("kind = 'var'").drop("kind", "root", "n"), groups, nodes, edges, result)
     warnings = folded.where("kind = 'warning'").select("program_id", "n", F.col("name").alias("var"), F.col("free_span").alias("info"))
-    return classify_groups(group_report(live, allocations)), warnings
+    return written(classify_groups(group_report(live, allocations)), "findings"), warnings

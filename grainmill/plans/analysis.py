@@ -34,7 +34,7 @@ def analyze(nodes: DataFrame, edges: DataFrame, entry: str = ENTRY, match_scope:
     """
     nodes, edges = written(nodes, "nodes"), written(edges, "edges")
     state = written(fixpoint(nodes, edges, entry, match_scope, most_visits), "fixpoint")
-    findings, warnings = (written(x, "findings") for x in detect(nodes, edges, state))
+    findings, warnings = detect(nodes, edges, state)
     return Analysis(nodes, edges, state, findings, warnings, sinks.report_lines(findings, warnings, nodes))
 
 

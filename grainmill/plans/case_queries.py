@@ -188,7 +188,7 @@ def case_sql(columns: str, rows: str) -> str:
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tuple(written(t, "cases") for t in case_graph(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")))
+    return case_graph(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"))
 
 
 def _result(spark: SparkSession, sf_dir: str) -> DataFrame:

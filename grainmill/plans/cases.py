@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainmill.operators import graph
+from grainmill.plans.lineage import written
 from grainmill.sources import schemas
 
 # The boxed types of the literal programs.
@@ -115,7 +116,7 @@ def case_programs(customers: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame
     terminator = F.col("terminator")
     for field in ("details", "function_called"):
         terminator = terminator.withField(field, typed(F.col(f"terminator.{field}")))
-    blocks = blocks.withColumn("terminator", terminator).select("program_id", "function", "block_id", "statements", "terminator")
+    blocks = written(blocks.withColumn("terminator", terminator).select("program_id", "function", "block_id", "statements", "terminator"), "blocks")
     with_c = programs.where(F.col("k") == names.index("c_free")).select("program_id")
     nodes, edges = _c_graph()
     c_nodes = with_c.crossJoin(F.broadcast(_literal(spark, [{"function": "give", "pos": n["node_id"], "node": n} for n in nodes], f"function STRING, pos BIGINT, node {schemas.C_NODE}")))  # four rows a program

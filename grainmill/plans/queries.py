@@ -365,7 +365,7 @@ def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     none = spark.createDataFrame([], "program_id string, function string")
-    return tuple(written(t, "graph") for t in graph.build_graph(written(_programs(spark, sf_dir), "blocks"), none))
+    return graph.build_graph(written(_programs(spark, sf_dir), "blocks"), none)
 
 
 @query()
