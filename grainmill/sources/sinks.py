@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from grainmill.functions import classify
+from grainmill.plans.lineage import written
 
 RULE = "⬦" * 38
 # The headings of the report.
@@ -60,7 +61,7 @@ def report_lines(findings: DataFrame, warnings: DataFrame, programs: DataFrame)
     cases = programs.select("program_id").distinct().join(counted, "program_id", "left").fillna(False, list(flags))
     multiset = lambda c: F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(F.when(F.col(c), F.concat(F.lit('"'), F.col("alloc_key"), F.lit('": 1'))))), ", "), F.lit("}"))
     sets = findings.groupBy("program_id").agg(multiset("use_after_free").alias("uses"), multiset("never_free").alias("nevers"))
-    cases = cases.join(sets, "program_id", "left")
+    cases = written(cases.join(sets, "program_id", "left"), "cases")  # ten parts of the report read it
     line = lambda rows, part, text, key=F.lit(""): rows.select("program_id", F.lit(part).alias("part"), key.alias("key"), text.alias("line"))
     some, all_three = F.col("u") | F.col("d") | F.col("n"), F.col("u") & F.col("d") & F.col("n")
     grouped = findings.join(cases, "program_id")

@@ -77,9 +77,9 @@ def test_copies_take_each_function_apart(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["case_findings"])
+@pytest.mark.parametrize("name", ["case_findings", "case_report"])
 def test_no_plan_repeats_the_analysis(spark, monkeypatch, name):
-    """The driver holds a plan with all its stages, so each part is planned once: with repeats the largest plan had 168 exchanges."""
+    """The driver holds a plan with all its stages, so each part is planned once: with repeats the largest plan had 168 exchanges, and 492 with the report."""
     seen, put = [], DataFrameWriter.parquet
     exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(exchanges(self._df)), put(self, *a, **b))[1])
