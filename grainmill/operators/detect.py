@@ -10,7 +10,7 @@ from grainmill.functions import classify, names
 from grainmill.operators.folds import fold_groups
 from grainmill.operators.fixpoint import ENTRY, last_visited, statements
 from grainmill.operators.memory import first_allocation
-from grainmill.plans.lineage import written
+from grainmill.plans.lineage import measured_joins, written
 
 EVENTS = "program_id string, seq long, i long, event string, a string, b string, span string, members array<string>"
 FOLDED = "program_id string, kind string, name string, root string, llvm_free long, drop_free long, used boolean, use_span string, free_span string, free_kind string, n long"
@@ -289,6 +289,11 @@ def detect(nodes: DataFrame, edges: DataFrame, result: DataFrame) -> tuple[DataF
     ``findings`` is classify_groups; ``warnings`` lists frees on the C side of
     memory that Rust had not dropped, in order of the scan.
     """
+    with measured_joins(nodes.sparkSession):
+        return _detect(nodes, edges, result)
+
+
+def _detect(nodes: DataFrame, edges: DataFrame, result: DataFrame) -> tuple[DataFrame, DataFrame]:
     seeds = result.where("kind = 'taint' AND marker = 'assign'").select("program_id", names.trimmed(F.col("var")).alias("var")).distinct()
     state = result.where("kind = 'state'").join(nodes.groupBy("program_id", "node_id").agg(F.min("seq").alias("seq")), ["program_id", "node_id"], "left")
     allocations = written(first_allocation(state.withColumn("seq", F.coalesce("seq", F.lit(2**31 - 1))), "seq"), "allocations")

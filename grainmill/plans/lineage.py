@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from contextlib import suppress
+from collections.abc import Iterator
+from contextlib import contextmanager, suppress
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,24 @@ def bucketed(df: DataFrame, parts: int, keys: list[str], label: str) -> DataFram
     return spark.table(name)
 
 
+@contextmanager
+def measured_joins(spark: SparkSession) -> Iterator[None]:
+    """Within it, joins that run broadcast a side by the size that its shuffle measured, and never by an estimate.
+
+    The estimate for a written table is its compressed file, cut down further by the columns that are read: 1.76 MB
+    for nine million nodes, of which a join sent 899,940 through the driver.  What is only planned within is not covered.
+    """
+    planned, measured = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    before = {limit: spark.conf.get(limit, None) for limit in (planned, measured)}
+    spark.conf.set(measured, before[measured] or spark.conf.get(planned))
+    spark.conf.set(planned, "-1")
+    try:
+        yield
+    finally:
+        for limit, value in before.items():
+            spark.conf.set(limit, value) if value else spark.conf.unset(limit)
+
+
 def clean(spark: SparkSession) -> int:
     """Deletes all that ``written`` and ``bucketed`` of this job have left, catalog entries too; returns how many tables went.
 

@@ -76,6 +76,19 @@ def test_copies_take_each_function_apart(spark):
     assert sorted(map(tuple, made)) == want
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_detect_exact_broadcasts_nothing_by_an_estimate(spark, monkeypatch):
+    """The estimate for nine million nodes was 1.76 MB, so what a join left of them went through the driver; the session's limits are as before afterwards."""
+    seen, put = [], DataFrameWriter.parquet
+    planned = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("BroadcastHashJoin")
+    limits = lambda: [spark.conf.get(f"spark.sql.{c}autoBroadcastJoinThreshold", None) for c in ("", "adaptive.")]
+    before = limits()
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(planned(self._df)), put(self, *a, **b))[1])
+    assert queries.QUERIES["detect_exact"](spark, SF).count() > 0
+    assert len(seen) > 5 and not any(seen)
+    assert limits() == before
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 @pytest.mark.parametrize("name", ["case_findings", "case_report"])
 def test_no_plan_repeats_the_analysis(spark, monkeypatch, name):
